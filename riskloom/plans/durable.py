@@ -24,6 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def use_shared_checkpoints(spark: SparkSession) -> None:
+    """Let MLlib cut the lineage of its rounds in the shared folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
