@@ -183,7 +183,7 @@ FROM w JOIN i USING (idx) JOIN d ON d.vec_id = i.vec_id AND d.pick = w.pick
 
 
 def _rf_importance(spark, sf):
-    return fr.rounded(importance.rf_importance(fr.planted(spark, sf), fr.PLANTED_FEATURES, "y"))
+    return fr.rounded(importance.rf_importance(fr.prepared(fr.planted(spark, sf)), fr.PLANTED_FEATURES, "y"))
 
 
 def _select_top(spark, sf):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.draws import digest, slice_to_long, unit
+from ..plans.durable import materialise, widen
 
 SEED = 42
 
@@ -181,6 +182,11 @@ def line_key() -> Column:
     return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
 
 
+def prepared(df: DataFrame) -> DataFrame:
+    """Fits read their input many times, so it is spread over the cores and written once."""
+    return materialise(widen(df), "prepared")
+
+
 def planted(spark, sf) -> DataFrame:
     """lineitem with a label that depends on the net price, one in ten flipped."""
     df = lineitem(spark, sf).withColumn("row_id", line_key())

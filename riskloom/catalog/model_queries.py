@@ -32,7 +32,7 @@ FROM ({fr.SCORED_SQL})
 
 
 def _parts(spark, sf):
-    df = split.stratified_split(fr.planted(spark, sf), "y", "row_id", 0.4)
+    df = fr.prepared(split.stratified_split(fr.planted(spark, sf), "y", "row_id", 0.4))
     return df.where(~F.col("is_test")), df.where("is_test")
 
 
@@ -59,7 +59,7 @@ def _predict_proba(spark, sf):
 
 def _folded(spark, sf):
     df = train.training_frame(fr.planted(spark, sf), FEATURES, "y", "row_id")
-    return split.assign_folds(df, "y", "row_id", 5).select("features", "y", "fold")
+    return fr.prepared(split.assign_folds(df, "y", "row_id", 5).select("features", "y", "fold"))
 
 
 def _cv_score(spark, sf):
@@ -72,7 +72,7 @@ def _search(spark, sf):
 
 
 def _model_importance(spark, sf):
-    model = train.fit_gbt(fr.planted(spark, sf), FEATURES, "y", SMALL_GBT)
+    model = train.fit_gbt(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", SMALL_GBT)
     return train.model_importance(model, FEATURES, 10, spark)
 
 

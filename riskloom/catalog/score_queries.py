@@ -262,7 +262,7 @@ SPECS = [Derived("price_quantity", "product", ("l_extendedprice", "l_quantity"))
 
 
 def make_bundle(spark, sf) -> bundles.Bundle:
-    df = features.derive(fr.planted(spark, sf), SPECS)
+    df = fr.prepared(features.derive(fr.planted(spark, sf), SPECS))
     names = [*fr.PLANTED_FEATURES, "price_quantity", "tax_squared"]
     fit = split.stratified_split(df, "y", "row_id").where(~F.col("is_test"))
     first = train.forest("y", {"numTrees": 10, "maxDepth": 4}).fit(train.training_frame(fit, names, "y"))

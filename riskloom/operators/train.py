@@ -76,6 +76,7 @@ def cv_score(
     estimator: Estimator, df: DataFrame, fold: str, label: str, k: int = 5, metric: str = "accuracy", parallelism: int = 2
 ) -> DataFrame:
     """(fold, score) of fitting on the other folds; `df` holds features, label and fold."""
+    use_shared_checkpoints(df.sparkSession)
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
 
     def one(f: int) -> tuple[int, float]:
@@ -83,7 +84,7 @@ def cv_score(
         return f, float(judge.evaluate(model.transform(df.where(F.col(fold) == f))))
 
     with ThreadPool(min(parallelism, k)) as pool:
-        rows = pool.map(inheritable_thread_target(one), range(k))
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(one), range(k))
     return local_frame(df.sparkSession, sorted(rows), "fold int, score double")
 
 
