@@ -23,6 +23,9 @@ INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, NUMERIC_TYPES)
 
@@ -45,6 +48,12 @@ def as_double(c: Column | str) -> Column:
     return nan_to_null(_col(c).cast("double"))
 
 
+def double_of(df: DataFrame, name: str) -> Column:
+    """`as_double` of a column of `df`, without the NaN test where its type has no NaN."""
+    c = _q(name).cast("double")
+    return c if isinstance(df.schema[name].dataType, _INTEGERS) else nan_to_null(c)
+
+
 def number_or_null(c: Column | str) -> Column:
     """Text to double; unparsable text and NaN become null."""
     c = _col(c)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numbers import as_double, is_numeric, nan_free, quoted
+from ..functions.numbers import as_double, double_of, is_numeric, nan_free, quoted
 from ..plans.quantiles import quantiles
 from ..plans.small import local_frame
 
@@ -38,7 +38,7 @@ def numeric_summary(df: DataFrame, cols: list[str], method: str = "exact") -> Da
     cols = [c for c in cols if c in df.columns]
     extra = {}
     for i, c in enumerate(cols):
-        x = as_double(quoted(c))
+        x = double_of(df, c)
         extra |= {f"_mean{i}": F.avg(x), f"_std{i}": F.stddev_samp(x)}
     med, head = quantiles(df, cols, [0.5], method, extra=extra)
     rows = [
@@ -80,18 +80,19 @@ def label_correlations(df: DataFrame, label: str, top: int = 10) -> DataFrame:
     text = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
     if text:
         raise TypeError(f"correlations need numeric columns, got {text}")
-    y = as_double(quoted(label))
+    y = double_of(df, label)
     others = [c for c in df.columns if c != label]
     aggs = [F.stddev_pop(y).alias("_label")]
     for i, c in enumerate(others):
-        x = as_double(quoted(c))
-        both = x.isNotNull() & y.isNotNull()
-        a, b = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_pop(a, b).alias(f"_c{i}"), F.stddev_pop(a).alias(f"_x{i}"), F.stddev_pop(b).alias(f"_y{i}")]
+        x = double_of(df, c)
+        paired = F.when(y.isNotNull(), x)
+        # r squared skips incomplete pairs and is null for a constant label;
+        # for a constant column it would be 1, hence the extremes
+        aggs += [F.regr_r2(x, y).alias(f"_r{i}"), F.min(paired).alias(f"_a{i}"), F.max(paired).alias(f"_b{i}")]
     one = df.agg(*aggs)
 
     def corr(i: int):
-        return F.abs(F.try_divide(F.col(f"_c{i}"), F.col(f"_x{i}") * F.col(f"_y{i}")))
+        return F.when(F.col(f"_a{i}") < F.col(f"_b{i}"), F.sqrt(F.col(f"_r{i}")))
 
     entries = [F.struct(F.lit(c).alias("feature"), corr(i).alias("correlation")) for i, c in enumerate(others)]
     own = F.when(F.col("_label") > 0, F.lit(1.0))

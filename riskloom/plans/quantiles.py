@@ -1,18 +1,21 @@
 """Exact quantiles with bounded memory.
 
-Spark's `percentile` keeps every distinct value of a column in one buffer. That
-is right for coded columns and impossible for continuous columns at scale, so:
-
-1. one pass counts rows, estimates distinct values, and sketches a bracket
-   around every wanted rank;
-2. columns with few distinct values get `percentile`; for the others the rows
-   below each bracket are counted;
-3. the values inside the brackets (a few per ten thousand) are cut into a
-   histogram whose cells carry count, min and max, and the cell holding the
-   rank becomes the new bracket, until the two wanted neighbours are known.
-
-Every pass is a map-side combined aggregate; the driver sees at most `fan`
-cells per wanted rank.
+Spark's `percentile` keeps every distinct value of a column in one buffer, which
+is impossible for continuous columns at scale. Here:
+
+1. one pass counts the values and finds the extremes;
+2. a row sample of fixed size gives a bracket around every wanted rank;
+3. one pass counts the rows below and inside each bracket, which proves or
+   rejects it (a rejected bracket becomes the full range). A bracket that holds
+   one value, as in coded columns, is the answer;
+4. the values inside the other brackets are cut into a histogram whose cells
+   carry count, min and max, and the cell holding the rank becomes the new
+   bracket, until the two wanted neighbours are known. Each round divides the
+   rows in question by about `fan`.
+
+The sample only steers the search; the result does not depend on it. Every
+pass is a map-side combined aggregate over the needed columns, and the driver
+sees at most `fan` cells per wanted rank.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from ..functions.numbers import as_double, quoted
+from ..functions.numbers import double_of
 
-FEW_DISTINCT = 100_000
+FEW_ROWS = 20_000
+SAMPLE_ROWS = 50_000
 _LARGEST = 1.7976931348623157e308
 
 
@@ -60,29 +64,30 @@ class _Rank:
         return self.v0 + (self.v1 - self.v0) * (self.pos - self.k0)
 
 
-def _cell(c: Column, lo: float, hi: float, fan: int) -> Column:
+def _sql(x: float) -> str:
+    return f"double('{'-' if x < 0 else ''}Infinity')" if math.isinf(x) else f"double('{x!r}')"
+
+
+def _cell(c: str, lo: float, hi: float, fan: int) -> str:
     # halves keep hi - lo finite for any pair of doubles
     lo, hi = max(lo, -_LARGEST) / 2, min(hi, _LARGEST) / 2
     if hi <= lo:
-        return F.lit(0)
-    clamped = F.greatest(F.least(c, F.lit(_LARGEST)), F.lit(-_LARGEST)) / 2
-    share = (clamped - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(fan))
-    return F.least(F.floor(share).cast("int"), F.lit(fan - 1))
+        return "0"
+    half = f"greatest(least({c}, {_sql(_LARGEST)}), {_sql(-_LARGEST)}) / 2"
+    return f"least(int(floor(({half} - {_sql(lo)}) / {_sql(hi - lo)} * {fan})), {fan - 1})"
 
 
 def _narrow(src: DataFrame, ranks: list[_Rank], fan: int) -> None:
     """One pass: replace every open bracket by the histogram cell of its rank."""
-    inside = F.array(
-        *[
-            F.when(
-                F.col(r.col).between(r.lo, r.hi),
-                F.struct(F.lit(i).alias("i"), _cell(F.col(r.col), r.lo, r.hi, fan).alias("cell"), F.col(r.col).alias("v")),
-            )
-            for i, r in enumerate(ranks)
-        ]
-    )
+    near = [f"{r.col} BETWEEN {_sql(r.lo)} AND {_sql(r.hi)}" for r in ranks]
+    entries = [
+        f"IF({near[i]}, named_struct('i', {i}, 'cell', {_cell(r.col, r.lo, r.hi, fan)}, 'v', {r.col}), NULL)"
+        for i, r in enumerate(ranks)
+    ]
     cells = (
-        src.select(F.explode(F.array_compact(inside)).alias("e"))
+        src.where(" OR ".join(near))
+        .select(F.expr(f"explode(array({', '.join(entries)})) AS e"))
+        .where("e IS NOT NULL")
         .groupBy("e.i", "e.cell")
         .agg(F.count("*").alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
         .collect()
@@ -110,6 +115,39 @@ def _narrow(src: DataFrame, ranks: list[_Rank], fan: int) -> None:
             r.lo, r.hi, r.below = first.lo, first.hi, start
 
 
+def _brackets(probs: list[float], rows: int) -> list[float]:
+    """Four standard errors to both sides of each probability in a sample of `rows`."""
+    out = []
+    for p in probs:
+        wide = 4.0 * math.sqrt(p * (1.0 - p) / rows) + 2.0 / rows
+        out += [max(0.0, p - wide), min(1.0, p + wide)]
+    return out
+
+
+def _search(src: DataFrame, ranks: list[_Rank], lows: dict[str, float], highs: dict[str, float], fan: int) -> None:
+    counts = []
+    for i, r in enumerate(ranks):
+        counts += [
+            F.expr(f"count_if({r.col} < {_sql(r.lo)})").alias(f"b{i}"),
+            F.expr(f"count_if({r.col} <= {_sql(r.hi)})").alias(f"u{i}"),
+        ]
+    got = src.agg(*counts).first()
+    for i, r in enumerate(ranks):
+        r.below = got[f"b{i}"]
+        if r.below > r.k0 or got[f"u{i}"] <= r.k1:
+            r.below, r.lo, r.hi = 0, lows[r.col], highs[r.col]
+        elif r.lo == r.hi:
+            r.v0 = r.v1 = r.lo
+    todo = [r for r in ranks if not r.done]
+    while todo:
+        before = [(r.lo, r.hi) for r in todo]
+        _narrow(src, todo, fan)
+        stuck = [r for r, b in zip(todo, before) if not r.done and (r.lo, r.hi) == b]
+        if stuck:
+            raise ArithmeticError(f"cannot separate values between {stuck[0].lo!r} and {stuck[0].hi!r}")
+        todo = [r for r in todo if not r.done]
+
+
 def quantiles(
     df: DataFrame,
     cols: list[str],
@@ -117,70 +155,69 @@ def quantiles(
     method: str = "exact",
     accuracy: int = 10_000,
     fan: int = 4096,
-    few_distinct: int = FEW_DISTINCT,
+    few_rows: int = FEW_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
     extra: dict[str, Column] | None = None,
 ) -> tuple[dict[str, list[float | None]], Row]:
-    """Quantiles by linear interpolation, and the row of `extra` aggregates.
+    """Quantiles by linear interpolation, and the first pass as a row.
 
     Nulls and NaN are skipped; a column without values gives None. `extra`
-    aggregates of `df` ride along with the first pass. method="approx" stops
-    after the sketch.
+    aggregates of `df` ride along with the first pass, whose row also holds
+    _c<i>_n, _c<i>_min and _c<i>_max of column i. method="approx" takes Spark's
+    sketch with the given accuracy in that one pass.
     """
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown quantile method {method!r}")
-    extra = extra or {}
     names = {c: f"_c{i}" for i, c in enumerate(cols)}
-    step = 2.0 / accuracy
-    sketch_at = [x for p in probs for x in (max(0.0, p - step), p, min(1.0, p + step))]
-    first = []
+    first = [v.alias(k) for k, v in (extra or {}).items()]
     for c, a in names.items():
-        x = as_double(quoted(c))
+        x = double_of(df, c)
         first += [F.count(x).alias(f"{a}_n"), F.min(x).alias(f"{a}_min"), F.max(x).alias(f"{a}_max")]
-        first.append(F.percentile_approx(x, [float(x_) for x_ in sketch_at], accuracy).alias(f"{a}_s"))
-        if method == "exact":
-            first.append(F.approx_count_distinct(x).alias(f"{a}_d"))
-    if not first and not extra:
+        if method == "approx":
+            first.append(F.percentile_approx(x, [float(p) for p in probs], accuracy).alias(f"{a}_s"))
+    if not first:
         return {}, Row()
-    head = df.agg(*first, *[v.alias(k) for k, v in extra.items()]).first()
+    head = df.agg(*first).first()
 
-    out: dict[str, list[float | None]] = {}
-    for c, a in names.items():
-        out[c] = [None] * len(probs) if head[f"{a}_n"] == 0 else [float(v) for v in head[f"{a}_s"][1::3]]
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
     filled = [c for c in cols if head[f"{names[c]}_n"] > 0]
-    if method == "approx" or not filled:
+    if method == "approx":
+        out |= {c: [float(v) for v in head[f"{names[c]}_s"]] for c in filled}
+        return out, head
+    if not filled:
         return out, head
 
-    src = df.select(*[as_double(quoted(c)).alias(a) for c, a in names.items() if c in filled])
-    few, ranks = [], []
-    for c in filled:
+    src = df.select(*[double_of(df, c).alias(names[c]) for c in filled])
+    few = [c for c in filled if head[f"{names[c]}_n"] <= few_rows]
+    many = [c for c in filled if c not in few]
+    if few:
+        got = src.agg(*[F.percentile(names[c], [float(p) for p in probs]).alias(names[c]) for c in few]).first()
+        out |= {c: list(got[names[c]]) for c in few}
+    if many:
+        share = {c: min(1.0, sample_rows / head[f"{names[c]}_n"]) for c in many}
+        sample = src.withColumn("_draw", F.rand(11)).where(F.col("_draw") < max(share.values()))
+        got = sample.agg(
+            *[
+                F.percentile(
+                    F.when(F.col("_draw") < share[c], F.col(names[c])),
+                    _brackets(probs, min(head[f"{names[c]}_n"], sample_rows)),
+                ).alias(names[c])
+                for c in many
+            ]
+        ).first()
+
+    ranks = []
+    for c in many:
         a = names[c]
-        if min(head[f"{a}_d"], head[f"{a}_n"]) <= few_distinct:
-            few.append(c)
-            continue
+        n = head[f"{a}_n"]
         for j, p in enumerate(probs):
-            lo, _, hi = head[f"{a}_s"][3 * j : 3 * j + 3]
-            ranks.append(_Rank(a, j, head[f"{a}_n"], p * (head[f"{a}_n"] - 1), lo, hi))
-    second = [F.percentile(names[c], [float(p) for p in probs]).alias(names[c]) for c in few]
-    for i, r in enumerate(ranks):
-        second += [
-            F.count_if(F.col(r.col) < r.lo).alias(f"_below{i}"),
-            F.count_if(F.col(r.col) <= r.hi).alias(f"_upto{i}"),
-        ]
-    got = src.agg(*second).first()
-    for c in few:
-        out[c] = list(got[names[c]])
-    for i, r in enumerate(ranks):
-        r.below = got[f"_below{i}"]
-        if r.below > r.k0 or got[f"_upto{i}"] <= r.k1:  # sketch missed: start from the full range
-            r.below, r.lo, r.hi = 0, head[f"{r.col}_min"], head[f"{r.col}_max"]
-    todo = ranks
-    while todo:
-        before = [(r.lo, r.hi) for r in todo]
-        _narrow(src, todo, fan)
-        stuck = [r for r, b in zip(todo, before) if not r.done and (r.lo, r.hi) == b]
-        if stuck:
-            raise ArithmeticError(f"cannot separate values between {stuck[0].lo!r} and {stuck[0].hi!r}")
-        todo = [r for r in todo if not r.done]
+            lo, hi = (got[a] or [head[f"{a}_min"], head[f"{a}_max"]] * len(probs))[2 * j : 2 * j + 2]
+            ranks.append(_Rank(a, j, n, p * (n - 1), lo, hi))
+    if ranks:
+        _search(
+            src, ranks,
+            {names[c]: head[f"{names[c]}_min"] for c in many}, {names[c]: head[f"{names[c]}_max"] for c in many}, fan,
+        )
     back = {a: c for c, a in names.items()}
     for r in ranks:
         out[back[r.col]][r.at] = r.value()
