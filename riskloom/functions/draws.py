@@ -14,8 +14,11 @@ def digest(seed: int, *parts: Column) -> Column:
 
 
 def slice_to_long(h: Column, start: int, digits: int) -> Column:
-    """`digits` hex digits (at most 15) of a digest, from 1-based `start`, as long."""
-    return F.conv(F.substring(h, start, digits), 16, 10).cast("long")
+    """`digits` hex digits (at most 15) of a digest, from 1-based `start`, as long.
+
+    Never null, so joins and filters on a draw do not compute it twice.
+    """
+    return F.coalesce(F.conv(F.substring(h, start, digits), 16, 10).cast("long"), F.lit(0))
 
 
 def unit(h: Column, start: int, digits: int = 13) -> Column:

@@ -50,7 +50,8 @@ def threshold_sweep(df: DataFrame, p: str, label: str, grid: list[float] | None
     cut = Bucketizer(splits=[float("-inf"), *grid, float("inf")], inputCol="_p", outputCol="_bucket")
     counts = (
         cut.transform(df.select(_score(p).alias("_p"), _positive(label).alias("_pos")))
-        .groupBy(F.col("_bucket").cast("int").alias("_bucket"))
+        # never null, so the join below adds no null filter that would cut the scores twice
+        .groupBy(F.coalesce(F.col("_bucket").cast("int"), F.lit(0)).alias("_bucket"))
         .agg(F.count_if("_pos").alias("_p1"), F.count_if(~F.col("_pos")).alias("_p0"))
     )
     steps = local_frame(

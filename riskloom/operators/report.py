@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import as_double, double_of, is_numeric, nan_free, quoted
 from ..plans.quantiles import quantiles
@@ -64,9 +64,14 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def value_shares(counts: DataFrame) -> DataFrame:
-    """Add the share of each value within its feature, in percent with one decimal."""
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    return counts.withColumn("share", F.round(F.col("n") / total * 100, 1))
+    """Add the share of each value within its feature, in percent with one decimal.
+
+    The totals have one row per counted column, so they are broadcast and no
+    feature has to fit one task.
+    """
+    totals = counts.groupBy(F.col("feature").alias("_feature")).agg(F.sum("n").alias("_total"))
+    joined = counts.join(F.broadcast(totals), F.col("feature") == F.col("_feature"))
+    return joined.select(*counts.columns, F.round(F.col("n") / F.col("_total") * 100, 1).alias("share"))
 
 
 def label_correlations(df: DataFrame, label: str, top: int = 10) -> DataFrame:

@@ -42,7 +42,7 @@ def stratified_split(
     wanted = [(g, 0, q) for g, q in quotas if q > 0]
     none = [g for g, q in quotas if q == 0]
     cutoffs = hash_cutoffs(df, label, key, wanted, seed, max(c for _, c in counts))
-    flagged = slot_by_cutoff(df, label, key, cutoffs, seed, "_after")
+    flagged = slot_by_cutoff(df, label, key, cutoffs, 1, seed, "_after")
     is_test = F.col("_after") == 0
     for g in none:
         is_test = is_test & ~F.col(label).eqNullSafe(F.lit(g))
@@ -73,4 +73,4 @@ def assign_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42
     if not wanted:
         return df.withColumn(out, F.lit(0))
     cutoffs = hash_cutoffs(df, label, key, wanted, seed, max(c for _, c in counts))
-    return slot_by_cutoff(df, label, key, cutoffs, seed, out)
+    return slot_by_cutoff(df, label, key, cutoffs, k - 1, seed, out)

@@ -31,7 +31,8 @@ def use_shared_checkpoints(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below a folder of this application, which may go once the application has ended."""
+    return f"{shared_dir(spark)}/riskloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

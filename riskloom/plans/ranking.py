@@ -7,7 +7,7 @@ buckets are counted, and only then are rows ordered inside one bucket.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.draws import digest
 from .small import local_frame, pin_small
@@ -60,17 +60,18 @@ def hash_cutoffs(df: DataFrame, label: str, key: str, wanted: list[tuple], seed:
     return pin_small(hits.select(F.col("_g").alias(label), F.col("_hit.slot").alias("slot"), "_h", "_k"), len(wanted))
 
 
-def slot_by_cutoff(df: DataFrame, label: str, key: str, cutoffs: DataFrame, seed: int, out: str) -> DataFrame:
-    """Add `out`: how many cutoffs of its class lie strictly before the row. No shuffle."""
-    cuts = cutoffs.groupBy(F.col(label).alias("_cg")).agg(
-        F.sort_array(F.collect_list(F.struct("_h", "_k"))).alias("_cuts")
+def slot_by_cutoff(df: DataFrame, label: str, key: str, cutoffs: DataFrame, slots: int, seed: int, out: str) -> DataFrame:
+    """Add `out`: how many of the cutoffs 0..slots-1 of its class lie strictly before the row. No shuffle."""
+    cut = F.struct("_h", "_k")
+    wide = cutoffs.groupBy(F.col(label).alias("_cg")).agg(
+        *[F.max(F.when(F.col("slot") == i, cut)).alias(f"_cut{i}") for i in range(slots)]
     )
     me = F.struct(digest(seed, F.col(key)).alias("_h"), F.col(key).alias("_k"))
-    joined = df.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_cg")), "left").withColumn("_me", me)
-    n = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_cuts", lambda c: c < F.col("_me")))
-    )
-    return joined.select(*df.columns, n.cast("int").alias(out))
+    joined = df.withColumn("_me", me).join(F.broadcast(wide), F.col(label).eqNullSafe(F.col("_cg")), "left")
+    n = F.lit(0)
+    for i in range(slots):
+        n = n + F.coalesce((F.col(f"_cut{i}") < F.col("_me")).cast("int"), F.lit(0))
+    return joined.select(*df.columns, n.alias(out))
 
 
 def dense_index(df: DataFrame, within: str, key: str, seed: int, largest: int, out: str = "idx") -> DataFrame:
@@ -126,11 +127,3 @@ def running_totals(df: DataFrame, order: str, sums: list[str], rows: int) -> Dat
         *df.columns,
         *[(F.col(f"_o_{s}") + F.sum(s).over(w) - F.col(s)).alias(f"{s}_before") for s in sums],
     )
-
-
-def literal_case(value: Column, table: list[tuple], default=None) -> Column:
-    """CASE value WHEN .. over a short driver-side table."""
-    out = F.lit(default)
-    for k, v in table:
-        out = F.when(value.eqNullSafe(F.lit(k)), F.lit(v)).otherwise(out)
-    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numbers import INTEGER_TEXT, NULL_TOKENS, NUMBER_TEXT, is_floating, nan_free, nan_to_null, quoted
@@ -111,6 +113,11 @@ def records_from(df: DataFrame, fields: list[str], column: str = "value") -> Dat
     )
 
 
+def frame_of_records(spark: SparkSession, records: list[dict]) -> DataFrame:
+    """A few records at hand, as the JSON frame that `read_records` takes."""
+    return spark.createDataFrame([(json.dumps(r),) for r in records], "value string")
+
+
 def read_records(source: SparkSession, path_or_df: str | DataFrame, fields: list[str]) -> DataFrame:
     """JSON lines (a path, or a frame with a `value` text column) to raw text records."""
     if isinstance(path_or_df, DataFrame):
@@ -120,6 +127,6 @@ def read_records(source: SparkSession, path_or_df: str | DataFrame, fields: list
 
 
 __all__ = [
-    "TableNotFound", "infer_types", "read_records", "read_table", "records_from",
+    "TableNotFound", "frame_of_records", "infer_types", "read_records", "read_table", "records_from",
     "require_path", "write_table",
 ]
