@@ -120,9 +120,8 @@ def dirty(spark, sf) -> DataFrame:
     """events with the JSON number as text and junk in between."""
     e = table(spark, sf, "events")
     draw = F.substring(digest(SEED, F.col("event_id")), 1, 1)
-    text = F.get_json_object("props", "$.k")
-    for d, t in JUNK:
-        text = F.when(draw == d, F.lit(t)).otherwise(text)
+    junk = F.create_map(*[F.lit(x) for pair in JUNK for x in pair])
+    text = F.coalesce(F.try_element_at(junk, draw), F.get_json_object("props", "$.k"))
     return e.select("event_id", "user_id", "event_type", "value", text.alias("k"))
 
 

@@ -15,7 +15,8 @@ NULL_TOKENS = (
 _DECIMAL = r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
 _SPECIAL = r"[+-]?(?i:inf|infinity|nan)"
 NUMBER_TEXT = rf"^\s*({_DECIMAL}|{_SPECIAL})\s*$"
-# As above, with single underscores allowed between digits (1_000).
+FINITE_OR_INF_TEXT = rf"^\s*({_DECIMAL}|[+-]?(?i:inf|infinity))\s*$"
+# As NUMBER_TEXT, with single underscores allowed between digits (1_000).
 _GROUPED = r"[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?"
 GROUPED_NUMBER_TEXT = rf"^\s*({_GROUPED}|{_SPECIAL})\s*$"
 INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
@@ -38,9 +39,9 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def nan_to_null(c: Column | str) -> Column:
-    c = _col(c)
-    return F.when(~F.isnan(c), c)
+def nan_to_null(c: Column | str, kind: str = "double") -> Column:
+    """NaN becomes null; `c` is evaluated once."""
+    return F.nanvl(_col(c), F.lit(None).cast(kind))
 
 
 def as_double(c: Column | str) -> Column:
@@ -55,9 +56,9 @@ def double_of(df: DataFrame, name: str) -> Column:
 
 
 def number_or_null(c: Column | str) -> Column:
-    """Text to double; unparsable text and NaN become null."""
+    """Text to double; unparsable text and the text nan become null."""
     c = _col(c)
-    return nan_to_null(F.when(c.rlike(NUMBER_TEXT), c.try_cast("double")))
+    return F.when(c.rlike(FINITE_OR_INF_TEXT), c.try_cast("double"))
 
 
 def grouped_number_or_null(c: Column | str) -> Column:
@@ -73,10 +74,10 @@ def ratio(num: Column, den: Column) -> Column:
 
 def nan_free(df: DataFrame) -> DataFrame:
     """Turn NaN into null in every floating column, in one projection."""
-    floats = {f.name for f in df.schema.fields if is_floating(f.dataType)}
+    floats = {f.name: f.dataType.simpleString() for f in df.schema.fields if is_floating(f.dataType)}
     if not floats:
         return df
-    return df.select(*[nan_to_null(_q(c)).alias(c) if c in floats else _q(c) for c in df.columns])
+    return df.select(*[nan_to_null(_q(c), floats[c]).alias(c) if c in floats else _q(c) for c in df.columns])
 
 
 def _q(name: str) -> Column:

@@ -80,5 +80,10 @@ def validate(df: DataFrame, constraints: list[Constraint], out: str = "violation
 
 
 def violation_counts(validated: DataFrame, col: str = "violations") -> DataFrame:
-    """(violation, n) over all rows."""
-    return validated.select(F.explode(col).alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+    """(violation, n) over all rows.
+
+    explode would add a filter on the array's size and so run all checks twice
+    per row; explode_outer does not.
+    """
+    each = validated.select(F.explode_outer(col).alias("violation")).where(F.col("violation").isNotNull())
+    return each.groupBy("violation").agg(F.count("*").alias("n"))

@@ -32,7 +32,7 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
         if isinstance(f.dataType, T.StringType):
             return present.alias(f.name)
         value = present.try_cast(f.dataType)
-        return (nan_to_null(value) if is_floating(f.dataType) else value).alias(f.name)
+        return (nan_to_null(value, f.dataType.simpleString()) if is_floating(f.dataType) else value).alias(f.name)
 
     return df.select(*[one(f) for f in schema.fields])
 
