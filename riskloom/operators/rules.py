@@ -35,7 +35,8 @@ def apply_rules(df: DataFrame, rules: list[Rule], fallback: str, out: str = "rec
     """Add the texts of all rules that hold, in rule order, or the fallback alone."""
     have = set(df.columns)
     hits = F.array_compact(F.array(*[F.when(r.holds(have), F.lit(r.text)) for r in rules]))
-    return df.withColumn(out, F.when(F.size(hits) == 0, F.array(F.lit(fallback))).otherwise(hits))
+    told = df.withColumn(out, hits)
+    return told.withColumn(out, F.when(F.size(out) == 0, F.array(F.lit(fallback))).otherwise(F.col(out)))
 
 
 @dataclass(frozen=True)

@@ -42,13 +42,14 @@ def check_features(count: int, bundle: Bundle) -> None:
 def score(df: DataFrame, bundle: Bundle, specs: list[Derived] = ()) -> DataFrame:
     """Add prediction, probability and confidence. The input columns stay as they are."""
     check_features(len(bundle.selected), bundle)
-    keep = df.columns
-    renamed = df.select(F.struct(*[quoted(c) for c in keep]).alias("_row"), *[quoted(c) for c in keep])
-    aligned = align_features(renamed, bundle.selected, specs, keep=["_row"])
+    # the input travels under names of its own, column by column, so that unused columns are still pruned
+    keep = {f"_in{i}": c for i, c in enumerate(df.columns)}
+    staged = df.withColumns({k: quoted(c) for k, c in keep.items()})
+    aligned = align_features(staged, bundle.selected, specs, keep=list(keep))
     scaled = bundle.scaler.transform(finite_or_zero(aligned, bundle.selected))
-    ready = scaled.select("_row", array_to_vector(F.array(*[quoted(c) for c in bundle.selected])).alias("features"))
+    ready = scaled.select(*keep, array_to_vector(F.array(*[quoted(c) for c in bundle.selected])).alias("features"))
     scored = bundle.model.transform(ready).select(
-        *[F.col("_row")[c].alias(c) for c in keep], vector_to_array(F.col("probability"))[1].alias("probability")
+        *[F.col(k).alias(c) for k, c in keep.items()], vector_to_array(F.col("probability"))[1].alias("probability")
     )
     return decide(scored, "probability", bundle.threshold)
 

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.draws import digest
 from .small import local_frame, pin_small
 
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 250_000
+MAX_BUCKETS = 16_384
 MAX_CLASSES = 10_000
 
 
@@ -104,7 +105,7 @@ def running_totals(df: DataFrame, order: str, sums: list[str], rows: int) -> Dat
     `order` must be a distinct, non-null double. Buckets follow the quantiles
     of `order`, so they stay even however the values cluster.
     """
-    buckets = min(4096, max(1, rows // BUCKET_ROWS))
+    buckets = min(MAX_BUCKETS, max(1, rows // BUCKET_ROWS))
     if buckets == 1:
         w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.select("*", *[(F.sum(s).over(w) - F.col(s)).alias(f"{s}_before") for s in sums])
@@ -116,7 +117,7 @@ def running_totals(df: DataFrame, order: str, sums: list[str], rows: int) -> Dat
         edges = [float("-inf"), 0.0, float("inf")]
     cut = Bucketizer(splits=edges, inputCol=order, outputCol="_b").transform(df)
     by_bucket = cut.groupBy(F.col("_b").alias("_ob")).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    # at most 4,096 rows: one ordered task is enough
+    # at most MAX_BUCKETS rows: one ordered task is enough
     upto = Window.orderBy("_ob").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = F.broadcast(
         by_bucket.select("_ob", *[(F.sum(f"_t_{s}").over(upto) - F.col(f"_t_{s}")).alias(f"_o_{s}") for s in sums])
