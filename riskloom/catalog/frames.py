@@ -188,7 +188,7 @@ def prepared(df: DataFrame) -> DataFrame:
 
 def planted(spark, sf) -> DataFrame:
     """lineitem with a label that depends on the net price, one in ten flipped."""
-    df = lineitem(spark, sf).withColumn("row_id", line_key())
+    df = widen(lineitem(spark, sf)).withColumn("row_id", line_key())
     flip = slice_to_long(digest(SEED, F.lit("flip"), F.col("row_id")), 1, 8) / F.lit(float(16**8)) < 0.1
     high = F.col("l_extendedprice") * (1 - F.col("l_discount")) > 60000
     return df.select(

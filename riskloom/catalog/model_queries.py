@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, split, train, workflow
 from ..operators.features import Derived
+from ..plans.durable import materialise
 from ..plans.small import local_frame
 from . import frames as fr
 from .frames import r
@@ -32,7 +33,7 @@ FROM ({fr.SCORED_SQL})
 
 
 def _parts(spark, sf):
-    df = fr.prepared(split.stratified_split(fr.planted(spark, sf), "y", "row_id", 0.4))
+    df = split.stratified_split(fr.prepared(fr.planted(spark, sf)), "y", "row_id", 0.4)
     return df.where(~F.col("is_test")), df.where("is_test")
 
 
@@ -58,8 +59,8 @@ def _predict_proba(spark, sf):
 
 
 def _folded(spark, sf):
-    df = train.training_frame(fr.planted(spark, sf), FEATURES, "y", "row_id")
-    return fr.prepared(split.assign_folds(df, "y", "row_id", 5).select("features", "y", "fold"))
+    df = train.training_frame(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", "row_id")
+    return materialise(split.assign_folds(df, "y", "row_id", 5).select("features", "y", "fold"), "folds")
 
 
 def _cv_score(spark, sf):
