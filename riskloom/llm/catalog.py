@@ -5,14 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..plans.durable import fresh_path
-from . import bpe, exact, packing, rans
-from .common import table
+from . import bpe, exact, language, minhash, packing, quality, rans
+from .common import fold, table
 
 
 def _byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     folder = fresh_path(spark, "token-files")
     rans.write_tokens(table(spark, sf_dir, "documents"), folder, _byte_bpe(), end_id=0)
@@ -27,13 +31,28 @@ def op6_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_quality(spark, sf_dir):
+    held_out = fold("doc_id", 3) == 1
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    found = language.identify(docs, language.fit_profiles(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), _byte_bpe())
 
 
 QUERIES = {
+    "op1_near_dedup": (op1_near_dedup, None),
     "op3_token_files": (op3_token_files, None),
     "op5_exact_dedup": (op5_exact_dedup, exact.OP5_SQL),
     "op6_packing": (op6_packing, None),
+    "op7_quality": (op7_quality, None),
+    "op8_language": (op8_language, None),
     "op9_bpe": (op9_bpe, None),
 }
