@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..plans.durable import fresh_path
-from . import bpe, exact, language, minhash, packing, quality, rans
+from . import bpe, exact, language, minhash, packing, pii, quality, rans, vectors
 from .common import fold, table
 
 
@@ -17,6 +17,10 @@ def op1_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark, sf_dir):
     folder = fresh_path(spark, "token-files")
     rans.write_tokens(table(spark, sf_dir, "documents"), folder, _byte_bpe(), end_id=0)
@@ -47,12 +51,18 @@ def op9_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), _byte_bpe())
 
 
+def op10_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_dedup": (op1_near_dedup, None),
+    "op2_pii": (op2_pii, None),
     "op3_token_files": (op3_token_files, None),
     "op5_exact_dedup": (op5_exact_dedup, exact.OP5_SQL),
     "op6_packing": (op6_packing, None),
     "op7_quality": (op7_quality, None),
     "op8_language": (op8_language, None),
     "op9_bpe": (op9_bpe, None),
+    "op10_vectors": (op10_vectors, vectors.OP10_SQL),
 }
