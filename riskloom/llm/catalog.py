@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..plans.durable import fresh_path
-from . import bpe, exact, language, minhash, packing, pii, quality, rans, vectors
+from . import bpe, exact, language, minhash, packing, pii, quality, rans, repeats, vectors
 from .common import fold, table
 
 
@@ -27,6 +27,10 @@ def op3_token_files(spark, sf_dir):
     return rans.read_tokens(spark, folder, digest=True)
 
 
+def op4_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_near_dedup": (op1_near_dedup, None),
     "op2_pii": (op2_pii, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_repeats": (op4_repeats, None),
     "op5_exact_dedup": (op5_exact_dedup, exact.OP5_SQL),
     "op6_packing": (op6_packing, None),
     "op7_quality": (op7_quality, None),

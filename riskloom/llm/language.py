@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import quoted
+from ..plans.durable import materialise
 from .common import arrow_of, renamed, ship, text_rows
 from .tokens import batch_of
 
@@ -22,6 +23,7 @@ UNKNOWN = "und"
 CHUNK_CHARS = 1_000_000
 EDGE = 32  # stands for a word's edge
 DENSE = 1 << 22
+BROADCAST_ROWS = 500_000
 _BITS = 21  # of a code point
 
 _known_letters: dict[int, bool] = {}
@@ -191,3 +193,12 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
             yield batch_of(out, doc_id=batch.column(0), lang_pred=best, score=score)
 
     return renamed(text_rows(docs, id_col, text_col).mapInArrow(run, ddl), id_col)
+
+
+def keep_identified(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = PROFILE) -> DataFrame:
+    """The rows whose text got a language, with all their columns; null texts and texts without a letter go."""
+    keyed = docs.withColumn("_row_key", F.xxhash64(quoted(id_col), quoted(text_col)))
+    found = identify(keyed, profiles, "_row_key", text_col, most)
+    rejected = materialise(found.where(F.col("lang_pred") == UNKNOWN).select("_row_key").distinct(), "rejected")
+    small = rejected.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(rejected) if small else rejected, "_row_key", "left_anti").select(*[quoted(c) for c in docs.columns])
