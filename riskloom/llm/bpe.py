@@ -19,20 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_of, renamed, text_rows
-from .tokens import CHARS_AT_ONCE, UnitCache, batch_of, id_array, spaced_units
+from .tokens import CHARS_AT_ONCE, UnitCache, batch_of, byte_symbols, id_array, spaced_units
 
 # Fixed value: the public pattern that cuts texts before byte-level merges.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHED_WORDS = 400_000
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
-
-
 class MergeEncoder:
     """Encoder and decoder of a byte-level merge list."""
 

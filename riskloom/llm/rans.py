@@ -24,9 +24,9 @@ from ..plans.durable import fresh_path
 from .common import arrow_of, renamed, text_rows
 from .tokens import batch_of, id_array, text_encoder
 
-BLOCK_IDS = 1 << 19
-LANES = 512
-CHECK_STEPS = 512
+BLOCK_IDS = 1 << 20
+LANES = 2048
+CHECK_STEPS = 256
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 WORD_MASK = np.uint64(0xFFFFFFFF)

@@ -23,6 +23,11 @@ CHARS_AT_ONCE = 4_000_000
 
 _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
+# letters with marks behind them and perhaps a new line that begins with letters:
+# every pre-tokenizer known to `cut_rule` cuts between these parts
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,;:!?]"
+_WORD = re.compile(_LETTERS)
+_PARTS = re.compile(f"({_LETTERS})({_MARKS}*)(?:(\n)({_LETTERS})({_MARKS}*))?")
 
 
 def cut_rule(spec: dict) -> str:
@@ -36,9 +41,11 @@ def cut_rule(spec: dict) -> str:
     if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
         return "joins"
     steps = pre.get("pretokenizers") or []
+    if len(steps) != 2 or steps[1].get("type") != "ByteLevel" or steps[1].get("add_prefix_space"):
+        return "whole"
     names = [s.get("type") for s in (spec.get("normalizer") or {}).get("normalizers", [])]
     if (
-        steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+        steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
         and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
         and set(names) <= {"NFC", "Replace", "Lowercase"}
     ):
@@ -51,6 +58,13 @@ def spaced_units(text: str) -> list[str]:
     return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class UnitCache(dict):
     """unit -> ids as little-endian unsigned 32-bit integers; `encode` answers for many units."""
 
@@ -58,11 +72,16 @@ class UnitCache(dict):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def prepare(self, units: set[str]) -> None:
-        missing = [u for u in units if u not in self]
-        if len(self) + len(missing) > self.limit:
+    def missing(self, units: set[str]) -> list[str]:
+        """The units without an answer; empties a cache that they would overfill."""
+        found = [u for u in units if u not in self]
+        if len(self) + len(found) > self.limit:
             self.clear()
-            missing = list(units)
+            found = list(units)
+        return found
+
+    def prepare(self, units: set[str]) -> None:
+        missing = self.missing(units)
         for i in range(0, len(missing), UNITS_AT_ONCE):
             part = missing[i : i + UNITS_AT_ONCE]
             self.update(zip(part, self.encode(part)))
@@ -86,6 +105,7 @@ class TextEncoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         if any(" " in t for t in self.added):
             self.rule = "whole"
+        self.symbols = byte_symbols()
         self.heads = UnitCache(self._encode)
         self.rest = UnitCache(lambda units: self._encode([" " + u for u in units])) if self.rule == "joins" else self.heads
 
@@ -104,19 +124,52 @@ class TextEncoder:
                 part, chars = [], 0
         yield from self._part(part)
 
+    def _one_word(self, word: str, spaced: bool) -> bytes:
+        """A word of plain letters is one pre-token: the library's model takes it in its byte symbols."""
+        if self.rule == "parts":
+            word = word.lower()
+        text = ("\u0120" if spaced else "") + (word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode())))
+        ids = [t.id for t in self.library.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _fill(self, cache: UnitCache, units: set[str]) -> None:
+        """Prepare units; those of several simple parts are put together from the parts' ids."""
+        whole, split = set(), []
+        for u in cache.missing(units):
+            m = _PARTS.fullmatch(u)
+            if m and (m[2] or m[3]):
+                split.append((u, m[1], [x for x in m.groups()[1:] if x]))
+            else:
+                whole.add(u)
+        tails = {x for _, _, parts in split for x in parts}
+        words = {w for _, w, _ in split if w not in cache} | whole
+        same = cache is self.heads
+        for into, need in ((cache, words | tails if same else words), (self.heads, set() if same else tails)):
+            rest = []
+            for x in need:
+                if x not in into:
+                    if _WORD.fullmatch(x):
+                        into[x] = self._one_word(x, spaced=into is self.rest and not same)
+                    else:
+                        rest.append(x)
+            for i in range(0, len(rest), UNITS_AT_ONCE):
+                into.update(zip(rest[i : i + UNITS_AT_ONCE], into.encode(rest[i : i + UNITS_AT_ONCE])))
+        for u, word, parts in split:
+            cache[u] = cache[word] + b"".join(map(self.heads.__getitem__, parts))
+
     def _part(self, texts: list[str]) -> Iterator[bytes]:
         if self.rule == "whole":
             yield from (self._encode([t])[0] for t in texts)
             return
         if self.rule == "parts":
             rows = [t.split(" ") for t in texts]
-            self.heads.prepare(set().union(*rows))
+            self._fill(self.heads, set().union(*rows))
             yield from map(self.heads.joined, rows)
             return
         # an added token cuts its text before the pattern does: such texts go to the library whole
         rows = [None if any(a in t for a in self.added) else spaced_units(t) for t in texts]
+        self._fill(self.rest, set().union(*(r[1:] for r in rows if r)))
         self.heads.prepare({r[0] for r in rows if r})
-        self.rest.prepare(set().union(*(r[1:] for r in rows if r)))
         for text, row in zip(texts, rows):
             yield self._encode([text])[0] if row is None else self.heads[row[0]] + self.rest.joined(row[1:])
 
