@@ -2,8 +2,8 @@
 
 Equal shingle sets collapse into one class before anything else. Classes meet
 in the buckets of banded signatures. In each bucket one leader is compared with
-all others; where that leaves several components, packed blocks of the bucket
-are compared, but never two members of one component. A comparison looks at the
+all others; where that leaves several components, the rest is compared in
+packed blocks, but never two members of one component. A comparison looks at the
 signatures in batches: after each, the number of agreeing hashes gives a
 posterior of the similarity, and the pair is pruned once the posterior chance
 of reaching the threshold is below `miss`. Every survivor is verified exactly
@@ -102,46 +102,76 @@ def _bayes_pairs(pairs: DataFrame, nodes: DataFrame, needed) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(run, ddl).distinct()
 
 
-def _block_pairs(members: DataFrame, needed) -> DataFrame:
-    """Pairs of one bucket in different components that the signatures do not prune.
+def _shingled(texts: DataFrame, n_words: int) -> DataFrame:
+    """(node, shingles): the sorted shingle hashes of each text."""
+    ddl = "node long, shingles binary"
+    out = arrow_of(ddl)
+
+    def run(batches):
+        for batch in batches:
+            yield batch_of(out, node=batch.column(0), shingles=[s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), n_words)])
+
+    return texts.mapInArrow(run, ddl)
+
+
+def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> DataFrame:
+    """Links between different components that meet in one group.
 
-    members: (bucket, node, component, signature) of buckets with several
-    components. The members outside a bucket's largest component meet all its
-    members, in packed blocks, so the rows of a join are blocks, not pairs.
+    members: (grp, node, component, signature, shingles). What lies outside a
+    group's largest component meets all of the group in packed blocks, so the
+    rows of the join are blocks, not pairs. A block pair prunes by signature,
+    verifies on the full sets, and passes over components that it has joined.
     """
-    sizes = members.groupBy("bucket", "component").count()
-    largest = materialise(sizes.groupBy("bucket").agg(
+    sizes = members.groupBy("grp", "component").count()
+    largest = materialise(sizes.groupBy("grp").agg(
         F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("total"),
         (F.sum("count") - F.max("count")).alias("others"),
-    ), "buckets")
-    known = materialise(members.join(largest, "bucket"), "members")
+    ), "groups")
+    known = materialise(members.join(largest, "grp"), "members")
 
     def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / F.lit(BLOCK)))
-        return rows.groupBy("bucket", block.alias("block")).agg(
-            F.collect_list("node").alias(name + "_node"), F.collect_list("component").alias(name + "_part"), F.collect_list("signature").alias(name + "_sign"),
+        return rows.groupBy("grp", block.alias("block")).agg(
+            *[F.collect_list(c).alias(name + c) for c in ("node", "component", "signature", "shingles")]
         ).drop("block")
 
-    left = materialise(packed(known.where("component != main"), "others", "l"), "blocks")
-    right = materialise(packed(known, "total", "r"), "blocks")
+    left = materialise(packed(known.where("component != main"), "others", "l_"), "blocks")
+    right = materialise(packed(known, "total", "r_"), "blocks")
     ddl = "a long, b long"
     out = arrow_of(ddl)
+    part, whole = threshold
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ln, lp, ls, rn, rp, rs = (batch.column(k)[i].as_py() for k in range(6))
-                ln, lp, rn, rp = (np.array(x, dtype=np.int64) for x in (ln, lp, rn, rp))
-                x, y = np.nonzero(lp[:, None] != rp[None, :])
+                ln, lp, ls, lt, rn, rp, rs, rt = (batch.column(k)[i].as_py() for k in range(8))
+                top: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while (up := top.get(c, c)) != c:
+                        c = up
+                    return c
+
+                x, y = np.nonzero(np.array(lp, dtype=np.int64)[:, None] != np.array(rp, dtype=np.int64)[None, :])
                 ls, rs = _matrix(ls), _matrix(rs)
+                lt, rt = ([np.frombuffer(t, dtype=np.uint64) for t in ts] for ts in (lt, rt))
+                a, b = [], []
                 for k in range(0, len(x), 65536):
                     p, q = x[k : k + 65536], y[k : k + 65536]
-                    alive = surviving(ls[p], rs[q], needed)
-                    a, b = ln[p[alive]], rn[q[alive]]
-                    yield batch_of(out, a=np.minimum(a, b), b=np.maximum(a, b))
-
-    met = left.join(right, "bucket").select("l_node", "l_part", "l_sign", "r_node", "r_part", "r_sign")
-    return met.mapInArrow(run, ddl).distinct()
+                    for j in surviving(ls[p], rs[q], needed).tolist():
+                        u, v = int(p[j]), int(q[j])
+                        one, two = root(lp[u]), root(rp[v])
+                        if one == two:
+                            continue
+                        both = len(np.intersect1d(lt[u], rt[v], assume_unique=True))
+                        if both and whole * both >= part * (len(lt[u]) + len(rt[v]) - both):
+                            top[one] = two
+                            a.append(ln[u])
+                            b.append(rn[v])
+                yield batch_of(out, a=a, b=b)
+
+    met = left.join(right, "grp")
+    return met.select(*[side + c for side in ("l_", "r_") for c in ("node", "component", "signature", "shingles")]).mapInArrow(run, ddl)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int], n_words: int) -> DataFrame:
@@ -197,25 +227,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = members.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first = materialise(_bayes_pairs(star, nodes, needed), "pairs")
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        ids = materialise(ids, "ids")
         small = ids.count() <= BROADCAST_ROWS
-        return materialise(text_rows(docs, id_col, text_col).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi"), "texts")
+        return text_rows(docs, id_col, text_col).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
-    texts = texts_of(first)
+    texts = materialise(texts_of(first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
     links = materialise(_verified(first, texts, threshold, n_words), "links")
     found = components(links)
 
     label = F.coalesce("component", "node").alias("component")
     labelled = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", label)
-    mixed = materialise(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "mixed")
-    open_rows = materialise(labelled.join(mixed, "bucket"), "open").join(nodes.select("node", "signature"), "node")
-    second = materialise(_block_pairs(open_rows, needed).join(first, ["a", "b"], "left_anti"), "pairs")
-    texts = texts_of(second)
-    links = links.unionByName(_verified(second, texts, threshold, n_words))
-    found = components(links)
+    # buckets with several components; those with the same largest one are looked at together
+    sizes = labelled.groupBy("bucket", "component").count()
+    mixed = materialise(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mixed")
+    in_groups = materialise(labelled.join(mixed, "bucket").select("grp", "node", "component").distinct(), "open")
+    sets = _shingled(texts_of(in_groups.select(F.col("node").alias("doc_id")).distinct()), n_words)
+    full = in_groups.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    found = components(links.unionByName(_block_links(full, needed, threshold)))
 
     of_class = nodes.select("set_key", "node").join(found, "node", "left").select("set_key", label)
     answer = rows.select("doc_id", "n_shingles", "set_key").join(materialise(of_class, "labels"), "set_key", "left")
     by_id = answer.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return renamed(by_id.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), id_col)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """The rows that `near_duplicates` keeps, with all their columns: of each component the document with the smallest id."""
+    found = near_duplicates(docs, id_col, text_col, threshold)
+    dropped = materialise(found.where("NOT kept").select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
+    small = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if small else dropped, docs[id_col] == F.col("_dropped"), "left_anti")
