@@ -241,7 +241,7 @@ def _validate(spark, sf):
 _K_OK = f"coalesce(({fr.NUMBER_SQL}) BETWEEN 0 AND 90, false)"
 _VIOLATIONS = f"""concat_ws('|', CASE WHEN value NOT BETWEEN 1 AND 200 THEN 'value: range' END,
     CASE WHEN trim(k) = '' THEN 'k: missing' END,
-    CASE WHEN trim(k) <> '' AND NOT (k = '1d' OR {_K_OK}) THEN 'k: range' END,
+    CASE WHEN trim(k) <> '' AND NOT {_K_OK} THEN 'k: range' END,
     CASE WHEN user_id NOT BETWEEN 1 AND 40 THEN 'user_id: code' END)"""
 VALIDATE_SQL = f"SELECT event_id, {_VIOLATIONS} AS violations FROM ({fr.DIRTY_SQL})"
 

@@ -19,7 +19,7 @@ FINITE_OR_INF_TEXT = rf"^\s*({_DECIMAL}|[+-]?(?i:inf|infinity))\s*$"
 # As NUMBER_TEXT, with single underscores allowed between digits (1_000).
 _GROUPED = r"[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)([eE][+-]?\d(_?\d)*)?"
 GROUPED_NUMBER_TEXT = rf"^\s*({_GROUPED}|{_SPECIAL})\s*$"
-INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.numbers import number_or_null
 from ..plans.small import local_frame, pin_small
 
 CODEBOOK_SCHEMA = "feature string, code double, text string"
@@ -23,7 +24,7 @@ def decode_values(df: DataFrame, book: DataFrame, feature: str = "feature", valu
     The book is broadcast if it is proven small.
     """
     b = pin_small(book.select(F.col("feature").alias("_f"), F.col("code").alias("_code"), F.col("text").alias("_text")))
-    code = F.col(value).cast("string").try_cast("double")
+    code = number_or_null(F.col(value).cast("string"))
     joined = df.join(b, (F.col(feature) == F.col("_f")) & (code == F.col("_code")), "left")
     return joined.select(*df.columns, F.coalesce("_text", F.col(value).cast("string")).alias(out))
 

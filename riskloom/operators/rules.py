@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import is_numeric, quoted
+from ..functions.numbers import is_numeric, number_or_null, quoted
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Constraint:
         c = quoted(self.column)
         numeric = is_numeric(df.schema[self.column].dataType)
         absent = c.isNull() if numeric else c.isNull() | (F.trim(c) == "")
-        x = c.cast("double") if numeric else c.try_cast("double")
+        x = c.cast("double") if numeric else number_or_null(c)
         out = []
         if self.required:
             out.append(F.when(absent, F.lit(f"{self.column}: missing")))

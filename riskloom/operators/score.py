@@ -40,10 +40,10 @@ def check_features(count: int, bundle: Bundle) -> None:
 
 
 def score(df: DataFrame, bundle: Bundle, specs: list[Derived] = ()) -> DataFrame:
-    """Add prediction, probability and confidence. The input columns stay as they are."""
+    """Add prediction, probability and confidence. The input columns stay as they are, but for earlier scores, which are replaced."""
     check_features(len(bundle.selected), bundle)
     # the input travels under names of its own, column by column, so that unused columns are still pruned
-    keep = {f"_in{i}": c for i, c in enumerate(df.columns)}
+    keep = {f"_in{i}": c for i, c in enumerate(df.columns) if c not in ("prediction", "probability", "confidence")}
     staged = df.withColumns({k: quoted(c) for k, c in keep.items()})
     aligned = align_features(staged, bundle.selected, specs, keep=list(keep))
     scaled = bundle.scaler.transform(finite_or_zero(aligned, bundle.selected))

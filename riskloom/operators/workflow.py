@@ -35,11 +35,6 @@ class TrainingRun:
     scored_test: DataFrame
 
 
-def add_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A key from the row's own values; unique once equal rows are dropped."""
-    return df.withColumn(name, F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"})))
-
-
 def train(
     df: DataFrame,
     label: str,
@@ -60,10 +55,9 @@ def train(
     model_name: str = "gbt",
 ) -> TrainingRun:
     """Run all steps. Any failing step raises; nothing is swallowed."""
-    clean = clean_table(df, label, method, skip_zero_iqr, keep=(key,) if key else ())
-    if key is None:
-        key = "row_key"
-        clean = add_row_key(clean, key)
+    # clipping can make different rows equal, so their key comes from the distinct rows before it
+    clean = clean_table(df, label, method, skip_zero_iqr, keep=(key,) if key else (), row_key=None if key else "row_key")
+    key = key or "row_key"
     engineered = derive(clean, list(specs))
     features = numeric_columns(engineered, (label, key))
     ready = materialise(
@@ -105,4 +99,4 @@ def train(
     return TrainingRun(bundle, importance, trials, sweep, report, scored)
 
 
-__all__ = ["TrainingRun", "add_row_key", "train"]
+__all__ = ["TrainingRun", "train"]

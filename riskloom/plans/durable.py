@@ -44,8 +44,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an under-partitioned frame (few input files) before iterative fits."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
+    """Spread a frame over all cores before iterative fits; nothing runs until it is read."""
+    spark = df.sparkSession
+    want = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(want, *keys) if keys else df.repartition(want)

@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.numbers import double_of
 
-FEW_ROWS = 20_000
 SAMPLE_ROWS = 50_000
 _LARGEST = 1.7976931348623157e308
 
@@ -155,7 +154,6 @@ def quantiles(
     method: str = "exact",
     accuracy: int = 10_000,
     fan: int = 4096,
-    few_rows: int = FEW_ROWS,
     sample_rows: int = SAMPLE_ROWS,
     extra: dict[str, Column] | None = None,
 ) -> tuple[dict[str, list[float | None]], Row]:
@@ -188,13 +186,8 @@ def quantiles(
         return out, head
 
     src = df.select(*[double_of(df, c).alias(names[c]) for c in filled])
-    few = [c for c in filled if head[f"{names[c]}_n"] <= few_rows]
-    many = [c for c in filled if c not in few]
-    if few:
-        got = src.agg(*[F.percentile(names[c], [float(p) for p in probs]).alias(names[c]) for c in few]).first()
-        out |= {c: list(got[names[c]]) for c in few}
-    if many:
-        share = {c: min(1.0, sample_rows / head[f"{names[c]}_n"]) for c in many}
+    if filled:
+        share = {c: min(1.0, sample_rows / head[f"{names[c]}_n"]) for c in filled}
         sample = src.withColumn("_draw", F.rand(11)).where(F.col("_draw") < max(share.values()))
         got = sample.agg(
             *[
@@ -202,12 +195,12 @@ def quantiles(
                     F.when(F.col("_draw") < share[c], F.col(names[c])),
                     _brackets(probs, min(head[f"{names[c]}_n"], sample_rows)),
                 ).alias(names[c])
-                for c in many
+                for c in filled
             ]
         ).first()
 
     ranks = []
-    for c in many:
+    for c in filled:
         a = names[c]
         n = head[f"{a}_n"]
         for j, p in enumerate(probs):
@@ -216,7 +209,7 @@ def quantiles(
     if ranks:
         _search(
             src, ranks,
-            {names[c]: head[f"{names[c]}_min"] for c in many}, {names[c]: head[f"{names[c]}_max"] for c in many}, fan,
+            {names[c]: head[f"{names[c]}_min"] for c in filled}, {names[c]: head[f"{names[c]}_max"] for c in filled}, fan,
         )
     back = {a: c for c, a in names.items()}
     for r in ranks:

@@ -49,7 +49,7 @@ def infer_types(text: DataFrame) -> T.StructType:
         aggs += [
             F.count_if(x.isNull()).alias(f"null{i}"),
             F.count_if(x.isNotNull() & ~x.rlike(NUMBER_TEXT)).alias(f"text{i}"),
-            F.count_if(x.isNotNull() & ~x.rlike(INTEGER_TEXT)).alias(f"real{i}"),
+            F.count_if(x.isNotNull() & ~(x.rlike(INTEGER_TEXT) & x.try_cast("long").isNotNull())).alias(f"real{i}"),
         ]
     row = text.agg(*aggs).first()
     fields = []
