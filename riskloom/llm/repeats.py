@@ -13,7 +13,6 @@ group, given with all its members and not only with neighbours.
 from __future__ import annotations
 
 import hashlib
-import os
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -71,61 +70,71 @@ def anchors(texts: list[bytes], least: int = LEAST):
 
 
 def _common(a: bytes, b: bytes) -> int:
-    return len(os.path.commonprefix((a, b)))
+    """Length of the common prefix: the highest bit in which the two differ, as big numbers."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
-def repeat_groups(members: list[tuple[bytes, bytes]], least: int = LEAST) -> list[tuple[list[int], int, int]]:
-    """Repeat groups of distinct surroundings of one anchor: (members, bytes to the left, bytes to the right).
+def intervals(members: list[tuple[bytes, bytes]]):
+    """The common-prefix intervals of distinct surroundings of one anchor, deepest first.
 
     A member is (bytes before the anchor reversed, bytes from the anchor on).
-    Each interval of the common-prefix tree gives, for its common right length,
-    the groups of members whose left extensions agree to at least `least` in
-    all; where they differ farther left, deeper groups come too.
+    An interval is (its members in the order of their left sides, the common
+    lengths of neighbours there, its common right length). Of members with the
+    same left side only one goes on to wider intervals: it stands for them.
     """
     order = sorted(range(len(members)), key=lambda i: members[i][1])
     shared = [_common(members[a][1], members[b][1]) for a, b in zip(order, order[1:])]
-    found: list[tuple[list[int], int, int]] = []
-
-    def visit(inside: list[int], length: int) -> list[int]:
-        """Test one interval; returns the members that a wider interval still needs."""
-        by_left = sorted(inside, key=lambda i: members[i][0])
-        same = [_common(members[a][0], members[b][0]) for a, b in zip(by_left, by_left[1:])]
-        need = max(0, least - length)
-        # intervals of the left tree, by a stack scan as well
-        stack: list[tuple[int, int]] = []
-        for i, depth in enumerate([*same, -1]):
-            first = i
-            while stack and stack[-1][1] > depth:
-                first, at = stack.pop()
-                if at >= need:
-                    found.append((by_left[first : i + 1], at, length))
-            if not stack or stack[-1][1] < depth:
-                stack.append((first, depth))
-        # of members that agree in all bytes to the left one will do from here on
-        return [m for m, before in zip(by_left, [None, *by_left]) if before is None or members[m][0] != members[before][0]]
-
-    # stack of intervals (first place, common length, members that still count)
-    stack: list[tuple[int, list[int]]] = []
+    stack: list[tuple[int, list[int]]] = []  # (common right length, members that still count)
     for i, member in enumerate(order):
         here, depth = [member], shared[i] if i < len(shared) else -1
         while stack and stack[-1][0] > depth:
             length, inside = stack.pop()
-            here = visit(inside + here, length)
+            by_left = sorted(inside + here, key=lambda m: members[m][0])
+            yield by_left, [_common(members[a][0], members[b][0]) for a, b in zip(by_left, by_left[1:])], length
+            here = [m for m, before in zip(by_left, [None, *by_left]) if before is None or members[m][0] != members[before][0]]
         if stack and stack[-1][0] == depth:
             stack[-1][1].extend(here)
         else:
             stack.append((depth, here))
+
+
+def repeat_groups(members: list[tuple[bytes, bytes]], least: int = LEAST) -> list[tuple[list[int], int, int]]:
+    """Repeat groups with all their members: (members, bytes to the left, bytes to the right).
+
+    Each interval gives, for its common right length, the groups of members
+    whose left sides agree to at least `least` bytes in all; where some agree
+    farther left, they are a group of their own too.
+    """
+    found = []
+    for by_left, same, length in intervals(members):
+        stack: list[tuple[int, int]] = []
+        for i, depth in enumerate([*same, -1]):
+            first = i
+            while stack and stack[-1][1] > depth:
+                first, at = stack.pop()
+                if at + length >= least:
+                    found.append((by_left[first : i + 1], at, length))
+            if not stack or stack[-1][1] < depth:
+                stack.append((first, depth))
     return found
 
 
 def spans_of(members: list[tuple[bytes, bytes]], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(member, bytes to the left, bytes to the right) of all `repeat_groups`, each member's best only."""
-    best: dict[int, set[tuple[int, int]]] = {}
-    for inside, left, right in repeat_groups(members, least):
-        for m in inside:
-            best.setdefault(m, set()).add((left, right))
-    return [(m, left, right) for m, pairs in best.items() for left, right in pairs
-            if not any(l >= left and r >= right and (l, r) != (left, right) for l, r in pairs)]
+    """(member, bytes to the left, bytes to the right): what the groups of `repeat_groups` cover of each member.
+
+    In an interval a member's deepest group reaches as far left as its nearer
+    neighbour; a wider interval, shorter to the right, counts only if it
+    reaches farther left.
+    """
+    best, out = [-1] * len(members), []
+    for by_left, same, length in intervals(members):
+        for m, before, after in zip(by_left, [-1, *same], [*same, -1]):
+            left = max(before, after)
+            if left > best[m] and left + length >= least:
+                best[m] = left
+                out.append((m, left, length))
+    return out
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
