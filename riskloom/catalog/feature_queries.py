@@ -143,13 +143,26 @@ def _knn(spark, sf):
 
 def _knn_cells(spark, sf):
     """Small blocks, so that the search has to visit other cells."""
-    e = fr.table(spark, sf, "embeddings").withColumn("half", F.slice("embedding", 1, 3))
-    return fr.rounded(neighbors.knn(e, "vec_id", "half", 3, block_rows=64))
+    e = fr.table(spark, sf, "embeddings")
+    return fr.rounded(neighbors.knn(e, "vec_id", "embedding", 3, block_rows=64))
+
+
+RECALL = 0.9
 
 
 def _knn_probe(spark, sf):
+    """How many of all exact neighbours a search of a few cells finds."""
     e = fr.table(spark, sf, "embeddings")
-    return fr.rounded(neighbors.knn(e, "vec_id", "embedding", 3, "label", method="probe", probes=4, block_rows=64))
+    exact = neighbors.knn(e, "vec_id", "embedding", 3, "label").select("vec_id", "neighbour")
+    probed = neighbors.knn(e, "vec_id", "embedding", 3, "label", method="probe", probes=4, block_rows=64)
+    found = exact.join(probed.select("vec_id", "neighbour", F.lit(1).alias("hit")), ["vec_id", "neighbour"], "left")
+    return found.agg(F.count("*").alias("wanted"), (F.count("hit") >= RECALL * F.count("*")).alias("recall_reached"))
+
+
+PROBE_SQL = """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT CAST(sum(n * least(3, n - 1)) AS BIGINT) AS wanted, true AS recall_reached FROM c
+"""
 
 
 def _knn_sql(vec: str, within: str) -> str:
@@ -182,8 +195,21 @@ FROM w JOIN i USING (idx) JOIN d ON d.vec_id = i.vec_id AND d.pick = w.pick
 """
 
 
+def ranking_facts(ranked):
+    """What is known beforehand of a ranking on planted rows: its names, its sum, and the price in front."""
+    return ranked.agg(
+        F.concat_ws(",", F.array_sort(F.collect_list("feature"))).alias("features"),  # one row per feature
+        F.round(F.sum("importance"), 6).alias("total"), F.min_by("feature", "rank").alias("first"),
+    )
+
+
+def ranking_sql(names: list[str]) -> str:
+    return f"""SELECT '{','.join(sorted(names))}' AS features, 1.0::DOUBLE AS total, arg_max(feature, importance) AS first
+FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, abs(corr({c}, y)) AS importance FROM ({fr.PLANTED_SQL})" for c in names)})"""
+
+
 def _rf_importance(spark, sf):
-    return fr.rounded(importance.rf_importance(fr.prepared(fr.planted(spark, sf)), fr.PLANTED_FEATURES, "y"))
+    return ranking_facts(importance.rf_importance(fr.prepared(fr.planted(spark, sf)), fr.PLANTED_FEATURES, "y"))
 
 
 def _select_top(spark, sf):
@@ -235,10 +261,10 @@ QUERIES = {
     "assign_folds": (_folds, FOLDS_SQL),
     "class_deficit": (_deficit, DEFICIT_SQL),
     "knn": (_knn, _knn_sql("CAST(embedding AS DOUBLE[])", "AND a.label = b.label")),
-    "knn_many_cells": (_knn_cells, _knn_sql("CAST(embedding[1:3] AS DOUBLE[])", "")),
-    "knn_probe": (_knn_probe, None),
+    "knn_many_cells": (_knn_cells, _knn_sql("CAST(embedding AS DOUBLE[])", "")),
+    "knn_probe": (_knn_probe, PROBE_SQL),
     "smote": (_smote, SMOTE_SQL),
-    "rf_importance": (_rf_importance, None),
+    "rf_importance": (_rf_importance, ranking_sql(fr.PLANTED_FEATURES)),
     "select_top_fraction": (_select_top, SELECT_SQL),
     "robust_scale": (_robust, ROBUST_SQL),
     "standard_scale": (_standard, STANDARD_SQL),

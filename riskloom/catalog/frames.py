@@ -77,12 +77,12 @@ FROM ({RETURNED_SQL})
 
 def repeats(spark, sf) -> DataFrame:
     """orders, with the finished ones a second and third time."""
-    o = table(spark, sf, "orders").drop("o_orderdate")
+    o = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
     done = o.where(F.col("o_orderstatus") == "F")
     return o.unionByName(done).unionByName(done)
 
 
-_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders"
 REPEATS_SQL = f"""
 {_ORDERS} UNION ALL {_ORDERS} WHERE o_orderstatus = 'F' UNION ALL {_ORDERS} WHERE o_orderstatus = 'F'
 """
@@ -156,11 +156,11 @@ SELECT event_id, {_Y} AS y,
 FROM events
 """
 
-EMBEDDED = [f"f{i}" for i in range(8)]
+EMBEDDED = [f"f{i}" for i in range(64)]
 
 
 def vec_minority(spark, sf) -> DataFrame:
-    """embeddings, one label against the rest, eight coordinates as columns."""
+    """embeddings, one label against the rest, all coordinates as columns."""
     return table(spark, sf, "embeddings").select(
         "vec_id",
         F.when(F.col("label") == 5, 1).otherwise(0).alias("y"),
@@ -195,3 +195,25 @@ def planted(spark, sf) -> DataFrame:
         "row_id", *[F.col(c).cast("double").alias(c) for c in PLANTED_FEATURES],
         F.when(high != flip, 1.0).otherwise(0.0).alias("y"),
     )
+
+
+# the same rows in SQL; both engines print these doubles alike
+_ROW_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax)"
+_FLIP = f"{sql_hex(sql_digest("'flip'", _ROW_ID), 1, 8)} / {float(16**8)!r}::DOUBLE < 0.1::DOUBLE"
+PLANTED_SQL = f"""
+SELECT {_ROW_ID} AS row_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in PLANTED_FEATURES)},
+       CASE WHEN (l_extendedprice * (1 - l_discount) > 60000) <> ({_FLIP}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y
+FROM lineitem
+"""
+
+
+def parts_sql(rows: str) -> str:
+    """(row_id, y, is_test) of the stratified split of (row_id, y) into 60 and 40 percent."""
+    return f"""
+SELECT row_id, y, rn <= base + CASE WHEN place <= extra THEN 1 ELSE 0 END AS is_test
+FROM (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY {sql_digest('row_id')}, row_id) AS rn FROM ({rows})) JOIN (
+  SELECT g, base, row_number() OVER (ORDER BY rest DESC, g) AS place, m - sum(base) OVER () AS extra FROM (
+    SELECT g, c * m // n AS base, c * m % n AS rest, m FROM (SELECT y AS g, count(*) AS c FROM ({rows}) GROUP BY 1), (
+      SELECT CAST(count(*) AS BIGINT) AS n, CAST(ceil(0.4::DOUBLE * CAST(count(*) AS DOUBLE)) AS BIGINT) AS m FROM ({rows})))
+) ON y = g
+"""

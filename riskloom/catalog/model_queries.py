@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import evaluate, split, train, workflow
 from ..operators.features import Derived
 from ..plans.durable import materialise
 from ..plans.small import local_frame
 from . import frames as fr
+from .feature_queries import ranking_facts, ranking_sql
 from .frames import r
 
 FEATURES = fr.PLANTED_FEATURES
+# The size of the registered fits: arguments of the library, whose defaults are far larger.
 SMALL_GBT = {"maxIter": 10, "maxDepth": 4}
-SMALL_SPACE = (
-    ("maxIter", "int", 3, 6),
-    ("maxDepth", "int", 2, 4),
-    ("stepSize", "log", 0.05, 0.3),
-    ("subsamplingRate", "float", 0.7, 1.0),
-)
+TRIALS = 2
+#: All searched parameters, with fewer and flatter trees.
+SMALL_SPACE = (("maxIter", "int", 3, 6), ("maxDepth", "int", 2, 4), ("stepSize", "log", 0.05, 0.3), *train.SEARCH_SPACE[3:])
+#: One label in ten is flipped, so no score can get much over 0.9.
+GOOD = 0.75
 
 
 def _positive_weight(spark, sf):
@@ -41,7 +42,22 @@ def _gbt(spark, sf):
     fit, test = _parts(spark, sf)
     model = train.fit_gbt(fit, FEATURES, "y", SMALL_GBT)
     scored = train.predict_proba(model, test, FEATURES, "p")
-    return evaluate.roc_auc(scored, "y", "p")
+    return evaluate.roc_auc(scored, "y", "p").select("positives", "negatives", (F.col("roc_auc") >= GOOD).alias("good"))
+
+
+_CLASSES = "count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives"
+
+
+def _held_out_sql(rows: str, more: str = "true AS good") -> str:
+    return f"SELECT {_CLASSES}, {more} FROM ({fr.parts_sql(rows)}) WHERE is_test"
+
+
+def _facts(report, *more: str):
+    """Rows of both classes that a report counts, and whether its scores are good."""
+    return report.select(
+        *more, (F.col("fn") + F.col("tp")).alias("positives"), (F.col("tn") + F.col("fp")).alias("negatives"),
+        (F.col("roc_auc") >= GOOD).alias("good"),
+    )
 
 
 def _gbt_weighted(spark, sf):
@@ -49,13 +65,17 @@ def _gbt_weighted(spark, sf):
     w = train.positive_weight(fit, "y").first().weight
     fit = fit.withColumn("w", F.when(F.col("y") == 1.0, F.lit(w)).otherwise(F.lit(1.0)))
     model = train.fit_gbt(fit, FEATURES, "y", SMALL_GBT, weight="w")
-    return evaluate.classification_report(train.predict_proba(model, test, FEATURES, "p"), "y", "p", 0.5)
+    return _facts(evaluate.classification_report(train.predict_proba(model, test, FEATURES, "p"), "y", "p", 0.5))
 
 
 def _predict_proba(spark, sf):
     fit, test = _parts(spark, sf)
     model = train.fit_gbt(fit, FEATURES, "y", SMALL_GBT)
-    return fr.rounded(train.predict_proba(model, test, FEATURES, "p").select("row_id", "y", "p"))
+    scored = train.predict_proba(model, test, FEATURES, "p")
+    return scored.select("row_id", "y", F.col("p").between(0.0, 1.0).alias("is_chance"))
+
+
+PROBA_SQL = f"SELECT row_id, y, true AS is_chance FROM ({fr.parts_sql(fr.PLANTED_SQL)}) WHERE is_test"
 
 
 def _folded(spark, sf):
@@ -64,33 +84,69 @@ def _folded(spark, sf):
 
 
 def _cv_score(spark, sf):
-    return train.cv_score(train.gbt("y", {"maxIter": 3, "maxDepth": 3}), _folded(spark, sf), "fold", "y", 5)
+    """The rows of each fold, and whether its score is good."""
+    folded = _folded(spark, sf)
+    scores = train.cv_score(train.gbt("y", SMALL_GBT), folded, "fold", "y", 5)
+    sizes = folded.groupBy("fold").agg(F.count("*").alias("n"))
+    return sizes.join(scores, "fold").select("fold", "n", (F.col("score") >= GOOD).alias("good"))
+
+
+FOLD_SQL = f"""
+WITH c AS (SELECT y AS g, count(*) AS c FROM ({fr.PLANTED_SQL}) GROUP BY 1),
+s AS (SELECT g, c, CAST((sum(c) OVER (ORDER BY g) - c) % 5 AS BIGINT) AS start FROM c)
+SELECT CAST(f AS INTEGER) AS fold, CAST(sum((c - ((f - start) % 5 + 5) % 5 + 4) // 5) AS BIGINT) AS n, true AS good
+FROM s, (SELECT unnest([0, 1, 2, 3, 4]) AS f) GROUP BY 1
+"""
 
 
 def _search(spark, sf):
-    table, _, _ = train.search(_folded(spark, sf), "y", "fold", 2, fr.SEED, SMALL_SPACE, 5)
-    return table.select("trial", F.to_json("params").alias("params"), "score")
+    """Each trial's number of parameters, whether its score is good, and which one was refitted on how many features."""
+    table, best, model = train.search(_folded(spark, sf), "y", "fold", TRIALS, fr.SEED, SMALL_SPACE, 5)
+    top = F.max_by("trial", F.struct("score", -F.col("trial"))).over(Window.partitionBy(F.lit(0)))  # one row per trial
+    chosen = F.col("params")["maxIter"] == F.lit(float(best["maxIter"]))
+    return table.withColumn("top", top).select(
+        "trial", F.size("params").alias("n_params"), (F.col("score") >= GOOD).alias("good"),
+        ((F.col("trial") != F.col("top")) | chosen).alias("best_is_first"), F.lit(model.numFeatures).alias("n_features"),
+    )
+
+
+SEARCH_SQL = f"""SELECT CAST(unnest(range({TRIALS})) AS INTEGER) AS trial, 7 AS n_params, min(row_id) IS NOT NULL AS good,
+true AS best_is_first, {len(FEATURES)} AS n_features FROM ({fr.PLANTED_SQL})"""
 
 
 def _model_importance(spark, sf):
     model = train.fit_gbt(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", SMALL_GBT)
-    return train.model_importance(model, FEATURES, 10, spark)
+    return ranking_facts(train.model_importance(model, FEATURES, 10, spark))
 
 
 def _families(spark, sf):
     fit, test = _parts(spark, sf)
     families = {"gbt": train.gbt("y", SMALL_GBT), "rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})}
     results, _, _ = train.fit_families(families, fit, test, FEATURES, "y")
-    return results
+    return _facts(results, "model")
+
+
+FAMILIES_SQL = f"SELECT model, {_CLASSES}, true AS good FROM ({fr.parts_sql(fr.PLANTED_SQL)}), (SELECT unnest(['gbt', 'rf']) AS model) WHERE is_test GROUP BY model"
 
 
 def _training_run(spark, sf):
+    """The whole run with a second family: one row each, and whether the bundle holds the better one."""
     run = workflow.train(
         fr.planted(spark, sf), "y",
         [Derived("price_quantity", "product", ("l_extendedprice", "l_quantity")), Derived("tax_squared", "square", ("l_tax",), "omit")],
-        key="row_id", n_trials=2, folds=3, space=SMALL_SPACE, forest_trees=20,
+        key="row_id", n_trials=TRIALS, space=SMALL_SPACE, families={"rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})},
     )
-    return run.report
+    best = evaluate.combined(F.col("accuracy"), F.col("f1"))
+    top = F.max_by("model", F.struct(best, "model")).over(Window.partitionBy(F.lit(0)))  # one row per family
+    held = F.lit(run.bundle.metadata["best_model_name"])
+    rows = run.families.withColumn("best_is_kept", top == held)
+    return _facts(rows, "model", "best_is_kept")
+
+
+# equal rows count once, whatever their key
+_DISTINCT = f"SELECT min(row_id) AS row_id, {', '.join(FEATURES)}, y FROM ({fr.PLANTED_SQL}) GROUP BY ALL"
+TRAINING_SQL = f"""SELECT model, true AS best_is_kept, {_CLASSES}, true AS good
+FROM ({fr.parts_sql(_DISTINCT)}), (SELECT unnest(['gbt', 'rf']) AS model) WHERE is_test GROUP BY model"""
 
 
 def _sweep(spark, sf):
@@ -206,14 +262,14 @@ SELECT event_id, {r('y', 'y')}, {r('p', 'p')}, {r('p2', 'p2')}, {r('(p * 0.64 +
 
 QUERIES = {
     "positive_weight": (_positive_weight, WEIGHT_SQL),
-    "fit_gbt": (_gbt, None),
-    "fit_gbt_weighted": (_gbt_weighted, None),
-    "predict_proba": (_predict_proba, None),
-    "cv_score": (_cv_score, None),
-    "search": (_search, None),
-    "model_importance": (_model_importance, None),
-    "fit_families": (_families, None),
-    "training_run": (_training_run, None),
+    "fit_gbt": (_gbt, _held_out_sql(fr.PLANTED_SQL)),
+    "fit_gbt_weighted": (_gbt_weighted, _held_out_sql(fr.PLANTED_SQL)),
+    "predict_proba": (_predict_proba, PROBA_SQL),
+    "cv_score": (_cv_score, FOLD_SQL),
+    "search": (_search, SEARCH_SQL),
+    "model_importance": (_model_importance, ranking_sql(FEATURES)),
+    "fit_families": (_families, FAMILIES_SQL),
+    "training_run": (_training_run, TRAINING_SQL),
     "threshold_sweep": (_sweep, SWEEP_SQL),
     "best_threshold": (_best, BEST_SQL),
     "confusion": (_confusion, CONFUSION_SQL),

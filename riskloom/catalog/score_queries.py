@@ -190,17 +190,47 @@ _EVENT_ADVICE = _rules_sql(
 )
 
 
-def _response(df):
+def _response(df, *more):
     h = digest(fr.SEED, F.col("event_id"))
     numbers = score.coerce_raw(df, ["k", "value"])
     decided = score.decide(numbers.withColumn("probability", unit(h, 1)), "probability", 0.43)
     told = rules.apply_rules(score.label_result(decided, TEXTS), EVENT_RULES, FALLBACK)
     return told.select(
         "event_id", "prediction", "probability", "confidence", "result_text",
-        F.concat_ws("|", "recommendations").alias("recommendations"),
+        F.concat_ws("|", "recommendations").alias("recommendations"), *more,
     )
 
 
+def _bad_lines(spark, sf):
+    """All events as JSON lines, a part of them empty, without fields, cut off or null."""
+    d = fr.dirty(spark, sf)
+    draw, line = F.substring(digest(fr.SEED, F.col("event_id")), 2, 1), F.to_json(F.struct("event_id", "k", "value"))
+    text = F.when(draw == "0", "").when(draw == "1", "{}").when(draw == "2", F.expr("left(line, 9)")).when(draw == "3", "null")
+    return d.withColumn("line", line).select("event_id", text.otherwise(F.col("line")).alias("value"))
+
+
+_EVENT_ANSWERS = ["prediction", "probability", "confidence", "result_text", "recommendations"]
+
+
+def _rejected(spark, sf):
+    """Answers for good lines, a reason for the others."""
+    records = tables.records_from(_bad_lines(spark, sf).withColumnRenamed("event_id", "id"), ["k", "value"]).withColumnRenamed("id", "event_id")
+    return fr.rounded(score.reject_empty(_response(records, "has_data"), _EVENT_ANSWERS).drop("has_data"))
+
+
+def _rejected_stream(spark, sf):
+    """The same lines as they arrive: bad ones have no id, so they are counted."""
+    source, sink = fresh_path(spark, "mixed"), fresh_path(spark, "mixed-answers")
+    _bad_lines(spark, sf).select("value").repartition(4).write.text(source)
+    stream = scoring.record_stream(spark, source, ["event_id", "k", "value"], max_files=2)
+    told = score.reject_empty(_response(stream, "has_data"), _EVENT_ANSWERS)
+    scoring.write_stream(told, sink, fresh_path(spark, "mixed-log")).awaitTermination()
+    return spark.read.parquet(sink).groupBy("error", "prediction").agg(F.count("*").alias("n"))
+
+
+_BAD = f"substr({sql_digest('event_id')}, 2, 1) IN ('0', '1', '2', '3')"
+
+
 def _score_response(spark, sf):
     return fr.rounded(_response(fr.dirty(spark, sf)))
 
@@ -214,6 +244,14 @@ FROM d
 """
 
 
+REJECTED_SQL = f"""
+SELECT event_id, {', '.join(f'CASE WHEN NOT {_BAD} THEN {c} END AS {c}' for c in _EVENT_ANSWERS)},
+       CASE WHEN {_BAD} THEN 'no data' END AS error
+FROM ({RESPONSE_SQL})
+"""
+REJECTED_STREAM_SQL = f"SELECT error, prediction, count(*) AS n FROM ({REJECTED_SQL}) GROUP BY ALL"
+
+
 def _stream_response(spark, sf):
     """All events as arriving JSON records; the answers are the batch answers."""
     source = fresh_path(spark, "arriving")
@@ -264,14 +302,15 @@ SPECS = [Derived("price_quantity", "product", ("l_extendedprice", "l_quantity"))
 def make_bundle(spark, sf) -> bundles.Bundle:
     df = fr.prepared(features.derive(fr.planted(spark, sf), SPECS))
     names = [*fr.PLANTED_FEATURES, "price_quantity", "tax_squared"]
-    fit = split.stratified_split(df, "y", "row_id").where(~F.col("is_test"))
+    parts = split.stratified_split(df, "y", "row_id")
+    fit, test = parts.where(~F.col("is_test")), parts.where("is_test")
     first = train.forest("y", {"numTrees": 10, "maxDepth": 4}).fit(train.training_frame(fit, names, "y"))
     values = first.featureImportances.toArray()
     chosen = selected_names(importance_table(spark, names, values))
     scaler = RobustScale.fit(fit, chosen)
     scaled = scaler.transform(fit)
     model = train.fit_gbt(scaled, chosen, "y", {"maxIter": 5, "maxDepth": 4})
-    scored = train.predict_proba(model, scaled, chosen, "p")
+    scored = train.predict_proba(model, scaler.transform(test), chosen, "p")
     best = evaluate.best_threshold(evaluate.threshold_sweep(scored, "p", "y")).first()
     metadata = {
         "best_model_name": "gbt", "optimal_threshold": best.t, "best_score": best.combined, "accuracy": best.acc,
@@ -288,14 +327,30 @@ def _reloaded(spark, sf):
 
 def _score(spark, sf):
     df = fr.planted(spark, sf)
-    scored = score.score(df, make_bundle(spark, sf), SPECS)
-    return fr.rounded(scored.select("row_id", "prediction", "probability", "confidence"))
+    """Every row has a chance, and prediction and confidence follow from it."""
+    bundle = make_bundle(spark, sf)
+    p = F.col("probability")
+    return score.score(df, bundle, SPECS).select(
+        "row_id", "y", p.between(0.0, 1.0).alias("is_chance"),
+        ((F.col("prediction") == 1) == (p >= bundle.threshold)).alias("follows"),
+        F.round(F.abs(p - 0.5) * 2 - F.col("confidence"), 9).alias("difference"),
+    )
+
+
+SCORE_SQL = f"SELECT row_id, y, true AS is_chance, true AS follows, 0.0::DOUBLE AS difference FROM ({fr.PLANTED_SQL})"
 
 
 def _bundle(spark, sf):
-    """Scores of a saved and reloaded bundle."""
-    scored = score.score(fr.planted(spark, sf), _reloaded(spark, sf), SPECS)
-    return fr.rounded(scored.select("row_id", "prediction", "probability", "confidence"))
+    """A saved and reloaded bundle scores every row as before."""
+    path, first = fresh_path(spark, "bundle"), make_bundle(spark, sf)
+    bundles.save_bundle(spark, first, path)
+    once = score.score(fr.planted(spark, sf), first, SPECS).withColumnsRenamed({c: f"_{c}" for c in ("prediction", "probability", "confidence")})
+    twice = score.score(once, bundles.load_bundle(spark, path), SPECS)
+    same = F.col("probability") == F.col("_probability")
+    return twice.select("row_id", same.alias("same_chance"), (F.col("prediction") == F.col("_prediction")).alias("same_prediction"))
+
+
+BUNDLE_SQL = f"SELECT row_id, true AS same_chance, true AS same_prediction FROM ({fr.PLANTED_SQL})"
 
 
 RECORD_RULES = [
@@ -324,24 +379,55 @@ def _answers(df, bundle):
 
 def _score_report(spark, sf):
     records = tables.read_records(spark, _record_text(spark, sf), RECORD_FIELDS)
-    return fr.rounded(_answers(records, make_bundle(spark, sf)))
+    told = _answers(records, make_bundle(spark, sf))
+    advised = F.split("recommendations", r"\|")
+    return told.select(
+        "row_id", (F.col("prediction") == (F.col("result_text") == TEXTS[1]).cast("int")).alias("text_follows"),
+        ((F.col("prediction") == 1) == F.array_contains(advised, RECORD_RULES[0].text)).alias("advice_follows"),
+        F.concat_ws("|", F.filter(advised, lambda a: ~a.isin(RECORD_RULES[0].text, FALLBACK))).alias("advice"),
+        F.size(F.from_json("feature_importance", "map<string,double>")).alias("n_features"),
+    )
+
+
+REPORT_SQL = f"""
+SELECT row_id, true AS text_follows, true AS advice_follows, 5 AS n_features,
+       concat_ws('|', CASE WHEN l_quantity > 25 THEN 'large' END, CASE WHEN l_tax = 0 OR l_linenumber = 2 THEN 'untaxed' END) AS advice
+FROM ({fr.PLANTED_SQL})
+"""
 
 
 def _score_stream(spark, sf):
     source, sink = fresh_path(spark, "records"), fresh_path(spark, "scored")
     _record_text(spark, sf).repartition(4).write.text(source)
-    stream = scoring.record_stream(spark, source, RECORD_FIELDS, max_files=2)
+    stream, bundle = scoring.record_stream(spark, source, RECORD_FIELDS, max_files=2), make_bundle(spark, sf)
     told = scoring.score_stream(
-        stream, make_bundle(spark, sf), RECORD_RULES, FALLBACK, TEXTS, SPECS, raw=fr.PLANTED_FEATURES, present="present"
+        stream, bundle, RECORD_RULES, FALLBACK, TEXTS, SPECS, raw=fr.PLANTED_FEATURES, present="present"
     )
-    told = told.select("row_id", "prediction", "probability", "confidence", "result_text")
+    told = told.select("row_id", "probability", "result_text", "error")
     scoring.write_stream(told, sink, fresh_path(spark, "scored-log")).awaitTermination()
-    return fr.rounded(spark.read.parquet(sink))
+    records = tables.read_records(spark, _record_text(spark, sf), RECORD_FIELDS)
+    batch = _answers(records, bundle).select("row_id", F.col("probability").alias("_p"), F.col("result_text").alias("_text"))
+    return spark.read.parquet(sink).join(batch, "row_id").select(
+        "row_id", "error", (F.col("probability") == F.col("_p")).alias("same_chance"), (F.col("result_text") == F.col("_text")).alias("same_text")
+    )
+
+
+STREAM_SQL = f"SELECT row_id, CAST(NULL AS VARCHAR) AS error, true AS same_chance, true AS same_text FROM ({fr.PLANTED_SQL})"
 
 
 def _model_info(spark, sf):
     info = score.model_info(spark, _reloaded(spark, sf))
-    return info.withColumn("selected_features", F.concat_ws(",", "selected_features"))
+    return info.select(
+        "model_name", F.size("selected_features").alias("n_selected"), "total_features", "selected_features_count",
+        F.array_contains("selected_features", "l_extendedprice").alias("price_selected"),
+        F.col("optimal_threshold").between(0.1, 0.9).alias("on_grid"), (F.col("accuracy") >= 0.75).alias("good"),
+    )
+
+
+INFO_SQL = """
+SELECT 'gbt' AS model_name, 5 AS n_selected, 7 AS total_features, 5 AS selected_features_count,
+       count(*) > 0 AS price_selected, true AS on_grid, true AS good FROM lineitem
+"""
 
 
 QUERIES = {
@@ -358,9 +444,11 @@ QUERIES = {
     "stream_response": (_stream_response, RESPONSE_SQL),
     "validate": (_validate, VALIDATE_SQL),
     "violation_counts": (_violation_counts, VIOLATION_SQL),
-    "score": (_score, None),
-    "bundle_round_trip": (_bundle, None),
-    "score_report": (_score_report, None),
-    "score_stream": (_score_stream, None),
-    "model_info": (_model_info, None),
+    "rejected_records": (_rejected, REJECTED_SQL),
+    "rejected_stream": (_rejected_stream, REJECTED_STREAM_SQL),
+    "score": (_score, SCORE_SQL),
+    "bundle_round_trip": (_bundle, BUNDLE_SQL),
+    "score_report": (_score_report, REPORT_SQL),
+    "score_stream": (_score_stream, STREAM_SQL),
+    "model_info": (_model_info, INFO_SQL),
 }

@@ -41,11 +41,11 @@ def check_features(count: int, bundle: Bundle) -> None:
 
 def score(df: DataFrame, bundle: Bundle, specs: list[Derived] = ()) -> DataFrame:
     """Add prediction, probability and confidence. The input columns stay as they are, but for earlier scores, which are replaced."""
-    check_features(len(bundle.selected), bundle)
     # the input travels under names of its own, column by column, so that unused columns are still pruned
     keep = {f"_in{i}": c for i, c in enumerate(df.columns) if c not in ("prediction", "probability", "confidence")}
     staged = df.withColumns({k: quoted(c) for k, c in keep.items()})
     aligned = align_features(staged, bundle.selected, specs, keep=list(keep))
+    check_features(len([c for c in aligned.columns if c not in keep]), bundle)
     scaled = bundle.scaler.transform(finite_or_zero(aligned, bundle.selected))
     ready = scaled.select(*keep, array_to_vector(F.array(*[quoted(c) for c in bundle.selected])).alias("features"))
     scored = bundle.model.transform(ready).select(
@@ -59,6 +59,19 @@ def label_result(df: DataFrame, mapping: dict[int, str], out: str = "result_text
     return df.withColumn(out, F.when(F.col("prediction") == 1, F.lit(mapping[1])).otherwise(F.lit(mapping[0])))
 
 
+NO_DATA = "no data"
+
+
+def reject_empty(df: DataFrame, answers: list[str], has_data: str = "has_data", out: str = "error") -> DataFrame:
+    """Add `out`: why a record gets no answer, else null. Empty and malformed records lose all `answers`."""
+    ok = F.coalesce(quoted(has_data), F.lit(False))
+    nulled = df.withColumns({c: F.when(ok, quoted(c)) for c in answers if c in df.columns})
+    return nulled.withColumn(out, F.when(~ok, F.lit(NO_DATA)))
+
+
+ANSWERS = ["prediction", "probability", "confidence", "result_text", "recommendations", "feature_importance"]
+
+
 def score_report(
     df: DataFrame,
     bundle: Bundle,
@@ -68,17 +81,21 @@ def score_report(
     specs: list[Derived] = (),
     raw: list[str] | None = None,
     present: str | None = None,
+    has_data: str = "has_data",
 ) -> DataFrame:
     """The full answer per record: raw fields to numbers, derived fields, score, text, advice, importances.
 
-    `raw` lists the fields of a record; all other columns pass through.
+    `raw` lists the fields of a record; all other columns pass through. Where
+    the input has the column `has_data`, as records read from JSON do, empty and
+    malformed records get null answers and a text in `error`.
     """
-    raw = [c for c in df.columns if c != present] if raw is None else raw
+    raw = [c for c in df.columns if c not in (present, has_data)] if raw is None else raw
     numbers = derive(coerce_raw(df, raw), list(specs), overwrite=True, on_missing="omit", present=present)
     scored = score(numbers, bundle, specs)
     told = apply_rules(label_result(scored, texts), rules, fallback)
     pairs = [x for f, v in bundle.importances().items() for x in (F.lit(f), F.lit(v))]
-    return told.withColumn("feature_importance", F.create_map(*pairs))
+    answered = told.withColumn("feature_importance", F.create_map(*pairs))
+    return reject_empty(answered, ANSWERS, has_data) if has_data in df.columns else answered
 
 
 def model_info(spark, bundle: Bundle) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import quoted
@@ -15,14 +16,14 @@ from ..plans.durable import materialise, widen
 from ..sources.bundles import Bundle
 from .balance import smote
 from .clean import clean_table
-from .evaluate import best_threshold, classification_report, threshold_sweep
+from .evaluate import best_threshold, classification_report, select_best, threshold_sweep
 from .features import Derived, derive, finite_or_zero
 from .importance import rf_importance, selected_names
 from .profile import numeric_columns
 from .scale import RobustScale
 from .score import align_features
 from .split import assign_folds, stratified_split
-from .train import SEARCH_SPACE, predict_proba, search, training_frame
+from .train import SEARCH_SPACE, fit_families, predict_proba, search, training_frame
 
 
 @dataclass
@@ -33,6 +34,7 @@ class TrainingRun:
     sweep: DataFrame
     report: DataFrame
     scored_test: DataFrame
+    families: DataFrame  # one report per model family, the searched one included
 
 
 def train(
@@ -53,8 +55,16 @@ def train(
     skip_zero_iqr: bool = False,
     parallelism: int = 2,
     model_name: str = "gbt",
+    families: dict[str, Estimator] | None = None,
+    probes: int | None = None,
 ) -> TrainingRun:
-    """Run all steps. Any failing step raises; nothing is swallowed."""
+    """Run all steps. Any failing step raises; nothing is swallowed.
+
+    `families` names further tree estimators (label and features columns set),
+    fitted on the same rows; the bundle takes the one with the best report on
+    the test part. With `probes` the balancing step looks for neighbours in
+    that many cells only, instead of exactly.
+    """
     # clipping can make different rows equal, so their key comes from the distinct rows before it
     clean = clean_table(df, label, method, skip_zero_iqr, keep=(key,) if key else (), row_key=None if key else "row_key")
     key = key or "row_key"
@@ -64,9 +74,9 @@ def train(
         widen(engineered.select(key, quoted(label).cast("double").alias(label), *[quoted(f) for f in features])), "clean"
     )
 
-    parts = stratified_split(ready, label, key, test, seed)  # a filter by one cutoff per class, cheap to repeat
+    parts = materialise(stratified_split(ready, label, key, test, seed), "parts")  # the balancing step reads it many times
     fit_part, test_part = parts.where(~F.col("is_test")), parts.where("is_test")
-    balanced = materialise(widen(smote(fit_part, label, key, features, k_neighbors, seed).drop("synthetic")), "balanced")
+    balanced = materialise(widen(smote(fit_part, label, key, features, k_neighbors, seed, probes=probes).drop("synthetic")), "balanced")
 
     importance = rf_importance(balanced, features, label, forest_trees, seed, forest_depth)
     selected = selected_names(importance, fraction)
@@ -79,12 +89,27 @@ def train(
     )
 
     aligned = finite_or_zero(align_features(test_part, selected, specs, keep=[label]), selected)
-    scored = materialise(
-        predict_proba(model, scaler.transform(aligned), selected, "probability").select(label, "probability"), "scored"
-    )
-    sweep = threshold_sweep(scored, "probability", label)
-    best = best_threshold(sweep).first()
-    report = classification_report(scored, label, "probability", best.t)
+    tested = scaler.transform(aligned)
+    scored = materialise(predict_proba(model, tested, selected, "probability").select(label, "probability"), "scored")
+
+    def judged(rows: DataFrame):
+        sweep = threshold_sweep(rows, "probability", label)
+        best = best_threshold(sweep).first()
+        return sweep, best, classification_report(rows, label, "probability", best.t)
+
+    sweep, best, report = judged(scored)
+    results = report.withColumn("model", F.lit(model_name))
+    if families:
+        if model_name in families:
+            raise ValueError(f"two families are named {model_name!r}")
+        others, models, probabilities = fit_families(families, scaled, tested, selected, label)
+        results = results.unionByName(others.select(*results.columns))
+        chosen = select_best(results).first()
+        if chosen is not None and chosen.model != model_name:
+            model_name, params = chosen.model, {}
+            model = models[model_name]
+            scored = probabilities.select(quoted(label), quoted(f"p_{model_name}").alias("probability"))
+            sweep, best, report = judged(scored)
     metadata = {
         "best_model_name": model_name,
         "optimal_threshold": best.t,
@@ -96,7 +121,7 @@ def train(
     }
     rows = [tuple(r) for r in importance.orderBy("rank").collect()]
     bundle = Bundle(model, scaler, selected, rows, metadata, {**params, "model_type": type(model).__name__})
-    return TrainingRun(bundle, importance, trials, sweep, report, scored)
+    return TrainingRun(bundle, importance, trials, sweep, report, scored, results)
 
 
 __all__ = ["TrainingRun", "train"]

@@ -37,8 +37,11 @@ def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[one(f) for f in schema.fields])
 
 
+BOOLEAN_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
+
+
 def infer_types(text: DataFrame) -> T.StructType:
-    """long, double or string per text column, decided in one pass.
+    """long, double, boolean or string per text column, decided in one pass.
 
     A column of integers with gaps is double, and so is a column without any
     value.
@@ -49,13 +52,14 @@ def infer_types(text: DataFrame) -> T.StructType:
         aggs += [
             F.count_if(x.isNull()).alias(f"null{i}"),
             F.count_if(x.isNotNull() & ~x.rlike(NUMBER_TEXT)).alias(f"text{i}"),
+            F.count_if(x.isNotNull() & ~x.rlike(BOOLEAN_TEXT)).alias(f"word{i}"),
             F.count_if(x.isNotNull() & ~(x.rlike(INTEGER_TEXT) & x.try_cast("long").isNotNull())).alias(f"real{i}"),
         ]
     row = text.agg(*aggs).first()
     fields = []
     for i, c in enumerate(text.columns):
         if row[f"text{i}"] > 0:
-            kind = T.StringType()
+            kind = T.StringType() if row[f"word{i}"] > 0 else T.BooleanType()
         elif row[f"real{i}"] > 0 or row[f"null{i}"] > 0:
             kind = T.DoubleType()
         else:
@@ -64,12 +68,14 @@ def infer_types(text: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, format: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, format: str | None = None,
+               multi_line: bool = False) -> DataFrame:
     """Header CSV or parquet to a typed table with NaN as null.
 
     CSV columns are read as text, the usual spellings of "missing" become
     null, and the rest is cast. With a schema this is one lazy pass; without
-    one, types are found in a pass of their own.
+    one, types are found in a pass of their own. Line breaks inside quotes need
+    `multi_line`; each file is then one task, so large tables need many files.
     """
     require_path(spark, path)
     kind = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
@@ -78,7 +84,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         return nan_free(reader.parquet(path))
     if kind != "csv":
         raise ValueError(f"unknown format {kind!r}")
-    text = spark.read.option("header", True).option("escape", '"').csv(path)
+    text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     if schema is None:
         schema = infer_types(text)
     elif isinstance(schema, str):
