@@ -3,17 +3,17 @@
 Spark's `percentile` keeps every distinct value of a column in one buffer, which
 is impossible for continuous columns at scale. Here:
 
-1. one pass counts the values and finds the extremes;
-2. a row sample of fixed size gives a bracket around every wanted rank;
-3. one pass counts the rows below and inside each bracket, which proves or
+1. one pass counts the values, finds the extremes and sketches them; the
+   sketch, whose rank error is bounded, gives a bracket around every wanted rank;
+2. one pass counts the rows below and inside each bracket, which proves or
    rejects it (a rejected bracket becomes the full range). A bracket that holds
    one value, as in coded columns, is the answer;
-4. the values inside the other brackets are cut into a histogram whose cells
+3. the values inside the other brackets are cut into a histogram whose cells
    carry count, min and max, and the cell holding the rank becomes the new
    bracket, until the two wanted neighbours are known. Each round divides the
    rows in question by about `fan`.
 
-The sample only steers the search; the result does not depend on it. Every
+The sketch only steers the search; the result does not depend on it. Every
 pass is a map-side combined aggregate over the needed columns, and the driver
 sees at most `fan` cells per wanted rank.
 """
@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..functions.numbers import double_of
 
-SAMPLE_ROWS = 50_000
+#: Half widths of the brackets, in units of the sketch's rank error; the smallest that spans some rows is taken.
+WIDTHS = (4, 40, 400)
+SPAN_ROWS = 4
 _LARGEST = 1.7976931348623157e308
 
 
@@ -114,13 +116,18 @@ def _narrow(src: DataFrame, ranks: list[_Rank], fan: int) -> None:
             r.lo, r.hi, r.below = first.lo, first.hi, start
 
 
-def _brackets(probs: list[float], rows: int) -> list[float]:
-    """Four standard errors to both sides of each probability in a sample of `rows`."""
-    out = []
-    for p in probs:
-        wide = 4.0 * math.sqrt(p * (1.0 - p) / rows) + 2.0 / rows
-        out += [max(0.0, p - wide), min(1.0, p + wide)]
-    return out
+def _brackets(probs: list[float], accuracy: int) -> list[float]:
+    """Probabilities on both sides of each wanted one, in every width."""
+    return [min(1.0, max(0.0, p + side * w / accuracy)) for p in probs for w in WIDTHS for side in (-1, 1)]
+
+
+def _bracket(sketch: list[float], j: int, n: int, accuracy: int, low: float, high: float) -> tuple[float, float]:
+    """The narrowest bracket of probability number `j` that spans some rows, else the whole range."""
+    for i, w in enumerate(WIDTHS):
+        if n * w / accuracy >= SPAN_ROWS:
+            at = 2 * (j * len(WIDTHS) + i)
+            return sketch[at], sketch[at + 1]
+    return low, high
 
 
 def _search(src: DataFrame, ranks: list[_Rank], lows: dict[str, float], highs: dict[str, float], fan: int) -> None:
@@ -150,16 +157,16 @@ def _search(src: DataFrame, ranks: list[_Rank], lows: dict[str, float], highs: d
 def quantiles(
     df: DataFrame,
     cols: list[str],
-    probs: list[float],
+    probs: list[float] | dict[str, list[float]],
     method: str = "exact",
     accuracy: int = 10_000,
     fan: int = 4096,
-    sample_rows: int = SAMPLE_ROWS,
     extra: dict[str, Column] | None = None,
 ) -> tuple[dict[str, list[float | None]], Row]:
     """Quantiles by linear interpolation, and the first pass as a row.
 
-    Nulls and NaN are skipped; a column without values gives None. `extra`
+    `probs` holds for all columns, or names those of each. Nulls and NaN are
+    skipped; a column without values gives None. `extra`
     aggregates of `df` ride along with the first pass, whose row also holds
     _c<i>_n, _c<i>_min and _c<i>_max of column i. method="approx" takes Spark's
     sketch with the given accuracy in that one pass.
@@ -167,17 +174,18 @@ def quantiles(
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown quantile method {method!r}")
     names = {c: f"_c{i}" for i, c in enumerate(cols)}
+    want = probs if isinstance(probs, dict) else {c: probs for c in cols}
     first = [v.alias(k) for k, v in (extra or {}).items()]
     for c, a in names.items():
         x = double_of(df, c)
         first += [F.count(x).alias(f"{a}_n"), F.min(x).alias(f"{a}_min"), F.max(x).alias(f"{a}_max")]
-        if method == "approx":
-            first.append(F.percentile_approx(x, [float(p) for p in probs], accuracy).alias(f"{a}_s"))
+        asked = want[c] if method == "approx" else _brackets(want[c], accuracy)
+        first.append(F.percentile_approx(x, [float(p) for p in asked], accuracy).alias(f"{a}_s"))
     if not first:
         return {}, Row()
     head = df.agg(*first).first()
 
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    out: dict[str, list[float | None]] = {c: [None] * len(want[c]) for c in cols}
     filled = [c for c in cols if head[f"{names[c]}_n"] > 0]
     if method == "approx":
         out |= {c: [float(v) for v in head[f"{names[c]}_s"]] for c in filled}
@@ -186,31 +194,17 @@ def quantiles(
         return out, head
 
     src = df.select(*[double_of(df, c).alias(names[c]) for c in filled])
-    if filled:
-        share = {c: min(1.0, sample_rows / head[f"{names[c]}_n"]) for c in filled}
-        sample = src.withColumn("_draw", F.rand(11)).where(F.col("_draw") < max(share.values()))
-        got = sample.agg(
-            *[
-                F.percentile(
-                    F.when(F.col("_draw") < share[c], F.col(names[c])),
-                    _brackets(probs, min(head[f"{names[c]}_n"], sample_rows)),
-                ).alias(names[c])
-                for c in filled
-            ]
-        ).first()
-
     ranks = []
     for c in filled:
         a = names[c]
         n = head[f"{a}_n"]
-        for j, p in enumerate(probs):
-            lo, hi = (got[a] or [head[f"{a}_min"], head[f"{a}_max"]] * len(probs))[2 * j : 2 * j + 2]
+        for j, p in enumerate(want[c]):
+            lo, hi = _bracket(head[f"{a}_s"], j, n, accuracy, head[f"{a}_min"], head[f"{a}_max"])
             ranks.append(_Rank(a, j, n, p * (n - 1), lo, hi))
-    if ranks:
-        _search(
-            src, ranks,
-            {names[c]: head[f"{names[c]}_min"] for c in filled}, {names[c]: head[f"{names[c]}_max"] for c in filled}, fan,
-        )
+    _search(
+        src, ranks,
+        {names[c]: head[f"{names[c]}_min"] for c in filled}, {names[c]: head[f"{names[c]}_max"] for c in filled}, fan,
+    )
     back = {a: c for c, a in names.items()}
     for r in ranks:
         out[back[r.col]][r.at] = r.value()
