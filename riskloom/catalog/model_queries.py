@@ -137,7 +137,8 @@ def _training_run(spark, sf):
         key="row_id", n_trials=TRIALS, space=SMALL_SPACE, families={"rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})},
     )
     best = evaluate.combined(F.col("accuracy"), F.col("f1"))
-    top = F.max_by("model", F.struct(best, "model")).over(Window.partitionBy(F.lit(0)))  # one row per family
+    # one row per family; equals go by name, as in select_best
+    top = F.min_by("model", F.struct((-best).alias("less"), "model")).over(Window.partitionBy(F.lit(0)))
     held = F.lit(run.bundle.metadata["best_model_name"])
     rows = run.families.withColumn("best_is_kept", top == held)
     return _facts(rows, "model", "best_is_kept")
