@@ -21,9 +21,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.drop_exact_copies(docs)
 
 
+#: Shingle sets as similar as this are near copies in the corpus; op1's own contract is 85/100.
+NEAR = (80, 100)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, threshold=NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ from .shingles import WORDS, shingle_sets
 from .tokens import batch_of
 
 HASHES = 128
-BANDS, BAND_ROWS = 25, 5
 BATCH = 16
 MISS = 1e-6
 THRESHOLD = (85, 100)
@@ -37,6 +36,14 @@ _FACTOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 
 
+def banding(threshold: float, miss: float = MISS, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, hashes in each): the longest bands that miss a pair right at `threshold` with a chance of at most `miss`."""
+    for rows in range(hashes, 0, -1):
+        if (1 - threshold**rows) ** (hashes // rows) <= miss:
+            return hashes // rows, rows
+    raise ValueError(f"{hashes} hashes miss pairs at a similarity of {threshold} with a chance above {miss}")
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The minimum of each of the hash functions over a set of 64-bit shingle hashes."""
     h = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -207,10 +214,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts is; a row with a null id is linked with nothing, has a null
     component_id and is kept. An empty table gives an empty one.
 
-    The 25 bands of 5 hashes miss a pair right at the default threshold with a
-    chance of 4e-7, and the pruning with about `miss`.
+    Bands follow the threshold: they miss a pair right at it with a chance of at
+    most `miss` (25 of 5 hashes and 4e-7 at 0.85, 32 of 4 and 5e-8 at 0.8), and
+    the pruning with about `miss`. Thresholds too low for that are refused.
     """
     needed = matches_needed(threshold[0] / threshold[1], miss)
+    n_bands, band_rows = banding(threshold[0] / threshold[1], miss)
     rows = materialise(sketches(docs, id_col, text_col, n_words), "sketches")
     nodes = materialise(
         rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key")
@@ -218,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     bands = nodes.select("node", F.explode(F.array(*[
-        F.xxhash64(F.lit(b), F.substring("signature", 4 * BAND_ROWS * b + 1, 4 * BAND_ROWS)) for b in range(BANDS)
+        F.xxhash64(F.lit(b), F.substring("signature", 4 * band_rows * b + 1, 4 * band_rows)) for b in range(n_bands)
     ])).alias("bucket"))
     # a bucket's leader is drawn, so that a document meets another leader in each of its buckets
     draw = F.struct(F.xxhash64("bucket", "node"), "node")
