@@ -109,7 +109,7 @@ def _can_hold(kind: str, text: Column) -> Column:
     """False only if neither pattern of the kind can match: most texts need no further look."""
     if kind == "email":
         return text.contains("@") | text.rlike(r"[\[(](?i:at)[\])]")
-    return text.rlike({"ip": r"[0-9](?:\.|\[\.\]|,)[0-9]", "card": r"[0-9][\x20./-]?[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]"}[kind])
+    return text.rlike({"ip": r"[0-9](?:\.|\[\.\]|,)[0-9]", "card": r"[0-9][\x20./-]?[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]|\+[0-9]"}[kind])
 
 
 def _featured(kind: str, m: Column) -> Column:
