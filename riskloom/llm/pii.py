@@ -224,10 +224,14 @@ def with_spans(docs: DataFrame, text_col: str = "text", model: SpanModel | None
         clear = ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
         return (model.probability(lambda f: m[f]) >= own) & clear
 
+    def apart(es: Column) -> Column:
+        """Of overlapping additions the first and longest stays; one that is dropped drops no other."""
+        none = F.array().cast("array<struct<start:bigint,back:bigint,kind:string>>")
+        return F.aggregate(es, none, lambda kept, m: F.when(
+            (F.size(kept) > 0) & (-F.element_at(kept, -1)["back"] > m["start"]), kept).otherwise(F.concat(kept, F.array(m))))
+
     extra = F.sort_array(F.transform(F.filter("_maybe", chosen), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), m["kind"].alias("kind"))))
-    # of overlapping additions the first and longest stays
-    apart = lambda es: F.filter(es, lambda m, i: ~F.exists(F.slice(es, F.lit(1), i), lambda e: -e["back"] > m["start"]))
-    added = F.transform(_let(extra, apart), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), (-m["back"]).alias("end")))
+    added = F.transform(apart(extra), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), (-m["back"]).alias("end")))
 
     def by_kind(spans: Column) -> Column:
         of = lambda kind: F.filter(spans, lambda m: m["kind"] == kind)
