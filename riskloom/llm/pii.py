@@ -2,11 +2,15 @@
 
 Fixed patterns with checks give the base spans. Beside them, generators of high
 recall propose further, overlapping candidate spans. Boosted trees (Spark
-MLlib) score a candidate by features of its format and context; they learn from
-a bounded sample of candidates, those that coincide with a base span against
-the others. Per kind, the threshold is the lowest at which held-out candidates
-above it are base spans to the share `PRECISION`. Candidates above it that touch no base
-span are added.
+MLlib) score a candidate by features of its format and context. They learn from
+a bounded sample. Positives are base spans as they look in a format that the
+base patterns miss (no plus, other separators, "(at)"), and candidates with
+evidence of their own: the shape of their kind, a card's checksum, for phones a
+word before. Negatives are candidates that have neither the shape nor a word
+before and touch no base span. All others are not learned from, but scored. Per
+kind, the threshold is the lowest at which held-out examples above it are
+positive to the share `PRECISION`. Candidates with evidence or above the
+threshold that touch no base span are added.
 
 Everything about a text happens in its own row, by array functions: nothing is
 shuffled, and the trees are evaluated as an expression.
@@ -52,8 +56,18 @@ WORDS = {
 }
 FEATURES = (
     "kind_no", "n", "digits", "letters", "marks", "groups", "plus", "brackets", "spaces", "dots", "checksum", "small_parts", "first_digit",
-    "before_letter", "before_space", "after_letter", "after_space", "after_digit", "word_before",
+    "before_letter", "before_space", "after_letter", "after_space", "after_digit", "word_before", "shape",
 )
+# Forms that personal data is written in, the base ones among them; the checks on digits come on top.
+# All repeats are bounded, since the candidates are not.
+SHAPES = {
+    "email": r"^(?=.{5,320}$)[\p{L}0-9._%+-]++(?:@|\x20?[\[(](?i:at)[\])]\x20?)[\p{L}0-9-]+(?:\.[\p{L}0-9-]+){0,20}\.\p{L}{2,}\W*$",
+    "ip": r"^[0-9]{1,3}(?:(?:\.|\[\.\])[0-9]{1,3}){3}$",
+    "card": r"^[0-9]{4,19}(?:[\x20./-][0-9]{2,7}){0,6}$",
+    "phone": r"^\+|^[0-9\x20.-]{0,5}\([0-9]{1,5}\)|^0[0-9]{1,4}(?:[\x20./-]{1,3}[0-9]{2,8}){1,6}$|^(?:1[\x20.-])?[2-9][0-9]{2}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$",
+}
+DATE = r"^[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}(?![0-9])"
+JOINED_BEFORE, JOINED_AFTER = r"(?:[\p{L}_]|[0-9][.,:/-]?)$", r"^(?:[\p{L}_]|[.,:/-]?[0-9])"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -112,6 +126,42 @@ def _can_hold(kind: str, text: Column) -> Column:
     return text.rlike({"ip": r"[0-9](?:\.|\[\.\]|,)[0-9]", "card": r"[0-9][\x20./-]?[0-9]", "phone": r"[0-9][\x20()./-]{0,3}[0-9]|\+[0-9]"}[kind])
 
 
+def _shaped(kind: str, m: Column) -> Column:
+    """A match is written like its kind, passes the kind's check and, if of digits, is no part of something longer."""
+    s = m["s"]
+    fits = s.rlike(SHAPES[kind])
+    if kind == "email":
+        return fits
+    if kind == "phone":
+        fits = fits & ~s.rlike(DATE)
+    return fits & CHECKS[kind](s) & ~m["before"].rlike(JOINED_BEFORE) & ~m["after"].rlike(JOINED_AFTER)
+
+
+def _evident(value: Callable[[str], Column]) -> Column:
+    """The shape of its kind is enough, but a phone has no checksum and needs a word before."""
+    return (value("shape") == 1) & ((value("kind_no") != KINDS.index("phone")) | (value("word_before") == 1))
+
+
+def _masked() -> dict[str, Column]:
+    """The features of a base span as they were if it were written in a form that the base patterns miss."""
+    f = F.col
+    cuts = F.when(f("groups") > 1, f("groups") - 1).otherwise(F.lit(3.0))  # of a card, by dots
+    forms = {
+        "email": {"n": f("n") + 3, "letters": f("letters") + 2, "marks": f("marks") + 1, "groups": f("groups") + 1, "brackets": f("brackets") + 2},
+        "ip": {"n": f("n") + 6, "marks": f("marks") + 6},
+        "card": {"n": f("digits") + cuts, "marks": cuts, "groups": cuts + 1, "spaces": F.lit(0.0), "dots": cuts},
+        "phone": {"n": f("n") - 1, "marks": f("marks") - 1, "groups": f("groups") - 1, "plus": F.lit(0.0)},
+    }
+    out = {}
+    for name in FEATURES:
+        value = F.lit(1.0) if name == "shape" else f(name)
+        for kind in KINDS:
+            if name in forms[kind]:
+                value = F.when(f("kind") == kind, forms[kind][name]).otherwise(value)
+        out[name] = value
+    return out
+
+
 def _featured(kind: str, m: Column) -> Column:
     s, flag = m["s"], lambda c: c.cast("double")
     count = lambda pattern: F.length(F.regexp_replace(s, pattern, "")).cast("double")
@@ -126,6 +176,7 @@ def _featured(kind: str, m: Column) -> Column:
         "before_letter": flag(m["before"].rlike(r"[\p{L}_=\x22]$")), "before_space": flag(m["before"].rlike(r"(?:^|\s)$")),
         "after_letter": flag(m["after"].rlike(r"^[\p{L}_=\x22]")), "after_space": flag(m["after"].rlike(r"^(?:\s|$)")),
         "after_digit": flag(m["after"].rlike(r"^.?[0-9]")), "word_before": flag(m["before"].rlike(WORDS[kind])),
+        "shape": flag(_shaped(kind, m)),
     }
     return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), *[values[f].alias(f) for f in FEATURES])
 
@@ -153,7 +204,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Trees as (weight, nested tuples) and a threshold for each kind; no trees: nothing is added."""
+    """Trees as (weight, nested tuples) and a threshold for each kind; without trees only candidates with evidence are added."""
 
     trees: tuple
     thresholds: dict[str, float]
@@ -177,12 +228,18 @@ def _tree(node):
 
 
 def fit_spans(found: DataFrame, train_rows: int = TRAIN_ROWS, rounds: int = ROUNDS, depth: int = DEPTH, precision: float = PRECISION, seed: int = 3) -> SpanModel:
-    """Fit on at most `train_rows` candidates of `with_candidates` rows, drawn by hash; thresholds come from all held-out ones."""
+    """Fit on at most `train_rows` examples from `with_candidates` rows, drawn by hash; thresholds come from all held-out ones."""
     use_shared_checkpoints(found.sparkSession)
     c = F.col("c")
     is_base = F.exists("_base", lambda b: (b["kind"] == c["kind"]) & (b["start"] == c["start"]) & (b["end"] == c["end"]))
+    touches = F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    label = (
+        F.when(is_base, 1.0).when(touches, None).when(_evident(lambda f: c[f]), 1.0)
+        .when((c["shape"] == 0) & (c["word_before"] == 0), 0.0)
+    )
+    labelled = found.select("_base", F.explode("_maybe").alias("c")).select(label.alias("label"), is_base.alias("base"), "c.*").where("label IS NOT NULL")
     rows = materialise(
-        found.select("_base", F.explode("_maybe").alias("c")).select(is_base.cast("double").alias("label"), "c.*")
+        labelled.select("label", "kind", "start", "end", *[F.when(F.col("base"), v).otherwise(F.col(f)).alias(f) for f, v in _masked().items()])
         .withColumn("draw", F.xxhash64(F.lit(seed), "kind", "start", "end", *FEATURES)),
         "candidates",
     )
@@ -213,8 +270,6 @@ def with_spans(docs: DataFrame, text_col: str = "text", model: SpanModel | None
     """
     found = materialise(with_candidates(docs, text_col), "spans")
     model = model or fit_spans(found)
-    if not model.trees or not model.thresholds:
-        return found.withColumn("_spans", F.col("_base")).drop("_maybe")
     limit = F.lit(2.0)
 
     def chosen(m: Column) -> Column:
@@ -222,7 +277,9 @@ def with_spans(docs: DataFrame, text_col: str = "text", model: SpanModel | None
         for kind, cut in model.thresholds.items():
             own = F.when(m["kind"] == kind, F.lit(cut)).otherwise(own)
         clear = ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return (model.probability(lambda f: m[f]) >= own) & clear
+        value = lambda f: m[f]
+        likely = model.probability(value) >= own if model.trees and model.thresholds else F.lit(False)
+        return (_evident(value) | likely) & clear
 
     def apart(es: Column) -> Column:
         """Of overlapping additions the first and longest stays; one that is dropped drops no other."""
@@ -250,7 +307,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     The counts and base_sha256 are of the base spans, `spans` has all. A null
     or empty text has none. Rows that repeat give repeated rows; an empty table
-    gives an empty one, without a model.
+    gives an empty one, without a model. n_added counts what the base patterns
+    miss.
     """
     rows = with_spans(docs.select(quoted(id_col).alias(id_col), quoted(text_col).alias(text_col)), text_col)
     count = lambda k: F.size(F.filter("_base", lambda m: m["kind"] == k)).cast("long").alias(f"n_{k}")
