@@ -8,6 +8,13 @@ an anchor are sorted as suffixes, and a stack scan of their common-prefix
 lengths visits the interval tree. For each interval the left extensions are
 tested: members that agree to the left as far as `least` asks are one repeat
 group, given with all its members and not only with neighbours.
+
+An anchor with more than `HOT_LEAVES` distinct surroundings is not scanned as one
+row. Two members share a string of `least` bytes if they agree on some number
+of bytes to the left and on the rest to the right. That number's range is cut
+into parts; for each part, members meet by the bytes that all of the part asks
+for, equal ones become one leaf again, and groups that are still too large are
+cut further, down to a single number, where a group is one leaf.
 """
 
 from __future__ import annotations
@@ -26,6 +33,9 @@ from .tokens import batch_of
 LEAST = 200
 CHUNK_BYTES = 2_000_000
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64_000_000
+HOT_LEAVES = 4096
+PARTS = 4
 _PLAIN = _BYTE.copy()
 _PLAIN[65:91] = _PLAIN[97:123] ^ np.uint64(0x5DEECE66D0000002)  # here capitals count
 
@@ -144,7 +154,70 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(ends) - 1]])]
 
 
-def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
+def _parts(members: DataFrame, least: int) -> DataFrame:
+    """Each member once for each part of its range low..high of bytes to the left that it is long enough for.
+
+    `grp` is of the bytes that the whole part asks for, `leaf` of all that the part can use.
+    """
+    ddl = "grp long, leaf binary, n long, rk long, pos int, low int, high int, before binary, after binary"
+    out = arrow_of(ddl)
+
+    def run(batches):
+        for batch in batches:
+            cols = {f.name: [] for f in out}
+            for grp, n, rk, pos, low, high, before, after in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                step = -(-(high - low + 1) // PARTS)
+                for a in range(low, high + 1, step):
+                    b = min(high, a + step - 1)
+                    left, right = before[:b], after[: least - a]
+                    if len(before) < a or len(after) < least - b or len(left) + len(right) < least:
+                        continue
+                    asked = hashlib.blake2b(b"%d %d|" % (grp, a) + before[:a] + after[: least - b], digest_size=8)
+                    every = hashlib.blake2b(b"%d %d %d|" % (grp, a, len(left)) + left + right, digest_size=16)
+                    values = (int.from_bytes(asked.digest(), signed=True), every.digest(), n, rk, pos, a, b, left, right)
+                    for name, value in zip(cols, values):
+                        cols[name].append(value)
+            yield batch_of(out, **cols)
+
+    return members.select("grp", "n", "rk", "pos", "low", "high", "before", "after").mapInArrow(run, ddl)
+
+
+def _settled(members: DataFrame, hot: DataFrame, least: int, hot_leaves: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans of equal members, packed groups of at most `hot_leaves` members).
+
+    members: (grp, n, rk, pos, low, high, before, after), n > 1 if covered
+    already; hot: the grp with more members than `hot_leaves`.
+    """
+    spans, packs = [], []
+
+    def pick(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
+        return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+    while True:
+        hot = materialise(hot, "hot-groups")
+        none = hot.isEmpty()
+        members = members if none else materialise(members, "members")
+        cold = members if none else pick(members, hot, ["grp"], "left_anti")
+        packs.append(
+            cold.groupBy("grp").agg(*[F.collect_list(c).alias(c) for c in ("n", "rk", "pos", "before", "after")])
+            .where(F.size("rk") > 1).drop("grp"))
+        if none:
+            return spans, packs
+        parts = materialise(_parts(pick(members, hot, ["grp"], "left_semi"), least), "parts")
+        leaves = materialise(parts.groupBy("grp", "leaf").agg(
+            F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "rk", "pos", "low", "high", "before", "after")).alias("one")), "part-leaves")
+        # large leaves are few and do not meet their members in one task
+        key, own = ["grp", "leaf"], parts.where("n = 1")
+        large = materialise(leaves.where(F.col("size") > hot_leaves).select(key), "large-leaves")
+        equal = pick(own, large, key, "left_semi").unionByName(
+            pick(own, large, key, "left_anti").join(leaves.where((F.col("size") > 1) & (F.col("size") <= hot_leaves)).select(key), key, "left_semi"))
+        spans.append(equal.select("rk", (F.col("pos") - F.length("before")).alias("first"), (F.col("pos") + F.length("after")).alias("last")))
+        n = F.when(F.col("size") > 1, F.lit(2)).otherwise(F.col("one.n")).cast("long").alias("n")
+        members = leaves.select("grp", n, *[F.col(f"one.{c}").alias(c) for c in ("rk", "pos", "low", "high", "before", "after")])
+        hot = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("leaves")).where(F.col("leaves") > hot_leaves).select("grp")
+
+
+def repeated_spans(rows: DataFrame, least: int = LEAST, hot_leaves: int = HOT_LEAVES) -> DataFrame:
     """(rk, starts, ends): the merged byte ranges of each text that repeats cover. rows: (rk, text), rk unique to a text and id."""
     ddl = "akey long, around long, rk long, pos int"
     out = arrow_of(ddl)
@@ -167,8 +240,10 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     met = materialise(every.join(shared, "akey"), "met-anchors")
     leaves = materialise(met.groupBy("akey", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rk", "pos")).alias("one")), "leaves")
     whole = met.join(leaves.where("n > 1").select("akey", "around"), ["akey", "around"]).select("rk", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    mixed_keys = leaves.groupBy("akey").agg(F.count(F.lit(1)).alias("leaves"), F.min("n").alias("fewest")).where("leaves > 1 AND fewest = 1").select("akey")
-    wanted = materialise(leaves.join(mixed_keys, "akey").select("akey", "n", "one.rk", "one.pos"), "wanted")
+    mixed_keys = materialise(
+        leaves.groupBy("akey").agg(F.count(F.lit(1)).alias("leaves"), F.min("n").alias("fewest")).where("leaves > 1 AND fewest = 1").drop("fewest"), "mixed-anchors")
+    hot = mixed_keys.where(F.col("leaves") > hot_leaves).select(F.col("akey").alias("grp"))
+    wanted = materialise(leaves.join(mixed_keys.select("akey"), "akey").select("akey", "n", "one.rk", "one.pos"), "wanted")
 
     needed = materialise(wanted.groupBy("rk").agg(F.collect_list(F.struct("akey", "n", "pos")).alias("at")), "wanted-texts")
     small = needed.select("rk").count() <= BROADCAST_ROWS
@@ -188,7 +263,8 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
                 )
 
     around = texts.join(needed, "rk").select("rk", "text", "at").mapInArrow(cut, ddl2)
-    packed = around.groupBy("akey").agg(*[F.collect_list(c).alias(c) for c in ("n", "rk", "pos", "before", "after")]).drop("akey")
+    ranged = around.select(F.col("akey").alias("grp"), "n", "rk", "pos", F.lit(0).alias("low"), F.lit(least - k).alias("high"), "before", "after")
+    equal, packs = _settled(ranged, hot, least, hot_leaves)
     ddl3 = "rk long, first int, last int"
     out3 = arrow_of(ddl3)
 
@@ -205,7 +281,9 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
 
     # a whole leaf covers its surroundings; what lies beyond the ends of the text is cut off below
     leaf_spans = whole.select("rk", (F.col("first") - F.lit(least - k)).alias("first"), (F.col("last") + F.lit(least)).alias("last"))
-    spans = leaf_spans.unionByName(packed.mapInArrow(scan, ddl3))
+    spans = leaf_spans
+    for more in [*equal, *[p.mapInArrow(scan, ddl3) for p in packs]]:
+        spans = spans.unionByName(more)
     ddl4 = "rk long, starts array<int>, ends array<int>"
     out4 = arrow_of(ddl4)
 
@@ -221,7 +299,8 @@ def repeated_spans(rows: DataFrame, least: int = LEAST) -> DataFrame:
     return spans.groupBy("rk").agg(F.collect_list("first").alias("a"), F.collect_list("last").alias("b")).mapInArrow(merge, ddl4)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, with_text: bool = False,
+                   hot_leaves: int = HOT_LEAVES) -> DataFrame:
     """One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256), and with `with_text` kept, the bytes left.
 
     Every byte covered by a string of `least` bytes that also starts elsewhere,
@@ -232,8 +311,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(docs.sparkSession)
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"))
-    spans = materialise(repeated_spans(keyed.select("rk", "text"), least), "repeat-spans")
-    small = spans.count() <= BROADCAST_ROWS
+    spans = materialise(repeated_spans(keyed.select("rk", "text"), least, hot_leaves), "repeat-spans")
+    small = (spans.agg(F.sum(F.lit(48) + 8 * F.size("starts"))).first()[0] or 0) <= BROADCAST_BYTES
     both = keyed.join(F.broadcast(spans) if small else spans, "rk", "left").select("doc_id", "text", "starts", "ends")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     out = arrow_of(ddl)
