@@ -7,7 +7,9 @@ with equal surroundings are one leaf with a count; the distinct surroundings of
 an anchor are sorted as suffixes, and a stack scan of their common-prefix
 lengths visits the interval tree. For each interval the left extensions are
 tested: members that agree to the left as far as `least` asks are one repeat
-group, given with all its members and not only with neighbours.
+group, with all its members and not only with neighbours. No group is returned:
+the operator gives what the groups cover of each text. `repeat_groups` lists
+those of the members of one anchor.
 
 An anchor with more than `HOT_LEAVES` distinct surroundings is not scanned as one
 row. Two members share a string of `least` bytes if they agree on some number
