@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..plans.durable import fresh_path
-from . import bpe, exact, language, minhash, packing, pii, quality, rans, repeats, vectors
+from . import bpe, codes, exact, hosts, language, minhash, packing, pii, quality, rans, repeats, vectors, whiten
 from .common import fold, table
 
 
@@ -59,6 +60,19 @@ def op10_vectors(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_codes(spark, sf_dir):
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark, sf_dir):
+    return hosts.url_verdicts(spark, sf_dir)
+
+
+def op13_whitening(spark, sf_dir):
+    found = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long cannot hold it
+
+
 QUERIES = {
     "op1_near_dedup": (op1_near_dedup, None),
     "op2_pii": (op2_pii, None),
@@ -70,4 +84,7 @@ QUERIES = {
     "op8_language": (op8_language, None),
     "op9_bpe": (op9_bpe, None),
     "op10_vectors": (op10_vectors, vectors.OP10_SQL),
+    "op11_codes": (op11_codes, codes.OP11_SQL),
+    "op12_url_filter": (op12_url_filter, hosts.OP12_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
