@@ -25,6 +25,8 @@ from .common import arrow_of, ship
 from .tokens import batch_of
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
+#: Doubles this large or larger count as non-finite; no float is.
+TOO_LARGE = 2.0**150
 #: Cells kept for each part position; a cache that they would overfill is emptied.
 CACHED_CELLS = 100_000
 #: Cells are this part of a codebook's mean spread per component.
@@ -125,9 +127,9 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
              entries: int = ENTRIES, parts: int = PARTS, rounds: int = ROUNDS) -> DataFrame:
     """One row per usable vector: (id, code, error, label_error, codebooks_sha256).
 
-    Vectors that are null or hold a null or non-finite component are dropped;
-    an empty vector has the code of zeros. Vectors of another length have
-    codebooks of their own. With fewer than `entries` vectors a codebook has
+    Vectors that are null or hold a null or non-finite component (a double of
+    `TOO_LARGE` counts as one) are dropped; an empty vector has the code of
+    zeros. Vectors of another length have codebooks of their own. With fewer than `entries` vectors a codebook has
     fewer entries. Rows that repeat an id stay, null ids come last among the
     starting entries, equal ids go by their vectors. An error beyond a long is
     null. Codebooks are the only thing the driver holds.
@@ -135,7 +137,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     spark = vectors.sparkSession
     ship(spark)
     v = quoted(vector_col)
-    fine = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    fine = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < TOO_LARGE)), F.lit(False))
     label = quoted(label_col).cast("string")
     rows = materialise(
         vectors.where(fine).select(quoted(id_col).alias("vec_id"), F.coalesce(F.concat(F.lit("="), label), F.lit("")).alias("label"), v.alias("v")),
@@ -145,7 +147,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         first = rows.where(F.size("v") == dims).orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
         books[dims] = start_books(to_integers(np.array([r.v for r in first], dtype=np.float64).reshape(len(first), dims)), parts)
 
-    ddl = "dims int, part int, entry int, place int, total decimal(38,0), n long"
+    ddl = "dims int, part int, entry int, place int, high decimal(38,0), low decimal(38,0), n long"
     out = arrow_of(ddl)
 
     def summed(held):
@@ -167,15 +169,15 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                      for e, row in enumerate(part) if count[dims][p][e] for k, t in enumerate(row)]
             if found:
                 cols = list(zip(*found))
-                yield batch_of(out, dims=cols[0], part=cols[1], entry=cols[2], place=cols[3], total=[Decimal(t) for t in cols[4]], n=cols[5])
+                yield batch_of(out, dims=cols[0], part=cols[1], entry=cols[2], place=cols[3], high=[Decimal(t >> 62) for t in cols[4]], low=[Decimal(t & (2**62 - 1)) for t in cols[4]], n=cols[5])
 
         return sums
 
     for _ in range(rounds):
-        new = rows.select("v").mapInArrow(summed(books), ddl).groupBy("dims", "part", "entry", "place").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
+        new = rows.select("v").mapInArrow(summed(books), ddl).groupBy("dims", "part", "entry", "place").agg(*[F.sum(c).alias(c) for c in ("high", "low", "n")]).collect()
         grown = {dims: [b.astype(object) for b in own] for dims, own in books.items()}
         for r in new:  # entries x dimensions, however many vectors
-            grown[r.dims][r.part][r.entry, r.place] = int(r.total) // r.n
+            grown[r.dims][r.part][r.entry, r.place] = ((int(r.high) << 62) + int(r.low)) // r.n
         books = {dims: [_book_array([[int(x) for x in row] for row in b]) for b in own] for dims, own in grown.items()}
 
     digests = {dims: books_digest(own) for dims, own in books.items()}
