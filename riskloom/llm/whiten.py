@@ -29,7 +29,7 @@ PRECISE, STALLED = 1e-13, 1e-11
 #: Eigenvalues this small beside the largest are zero.
 ZERO = 1e-12
 INNER_STEPS, INNER_GAIN = 5, 0.1
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE, BLOCK_BYTES = 4096, 2_000_000
 
 Product = Callable[[np.ndarray], np.ndarray]
 
@@ -177,25 +177,39 @@ class Centred:
         self.floor = np.array([s // self.n for s in self.sums], dtype=np.int64)
         self.over = np.array([s % self.n for s in self.sums], dtype=object)
         self.rest = np.array([(s % self.n) / self.n for s in self.sums])
+        self.blocks = materialise(rows.select("v").mapInArrow(self._pack(), "block binary"), "centred")
+
+    def _pack(self):
+        """Centred rows as blocks of doubles: every later pass reads them as they lie."""
+        dims, low, rest = self.dims, self.floor, self.rest
+        out, at_once = arrow_of("block binary"), max(1, BLOCK_BYTES // (8 * dims))
+
+        def pack(batches):
+            for batch in batches:
+                for _, x in _integers(batch, 0, dims):
+                    y = (x - low) - rest
+                    for i in range(0, len(y), at_once):
+                        yield batch_of(out, block=[y[i : i + at_once].tobytes()])
+
+        return pack
 
     def product(self, block: np.ndarray) -> np.ndarray:
         """The covariance times a block, as one pass over the vectors."""
-        dims, low, rest = self.dims, self.floor, self.rest
-        width = block.shape[1]
+        dims, width = block.shape
         ddl = "place int, " + ", ".join(f"c{j} double" for j in range(width))
         out = arrow_of(ddl)
 
         def part(batches):
             total, rows = np.zeros((dims, width)), 0
             for batch in batches:
-                for _, x in _integers(batch, 0, dims):
-                    y = (x - low) - rest
+                for raw in batch.column(0):
+                    y = np.frombuffer(raw.as_buffer(), dtype=np.float64).reshape(-1, dims)
                     total += y.T @ (y @ block)
-                    rows += len(x)
+                    rows += len(y)
             if rows:
                 yield batch_of(out, place=np.arange(dims), **{f"c{j}": total[:, j] for j in range(width)})
 
-        found = self.rows.select("v").mapInArrow(part, ddl).groupBy("place").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)]).collect()
+        found = self.blocks.mapInArrow(part, ddl).groupBy("place").agg(*[F.sum(f"c{j}").alias(f"c{j}") for j in range(width)]).collect()
         return np.array([tuple(r)[1:] for r in sorted(found)]).reshape(dims, width) / self.n
 
     def whitened(self, values: np.ndarray, axes: np.ndarray) -> DataFrame:
