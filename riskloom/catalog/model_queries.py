@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import evaluate, split, train, workflow
+from ..operators import boost, clean, evaluate, split, tpe, train, workflow
 from ..operators.features import Derived
 from ..plans.durable import materialise
 from ..plans.small import local_frame
@@ -114,6 +114,139 @@ SEARCH_SQL = f"""SELECT CAST(unnest(range({TRIALS})) AS INTEGER) AS trial, 7 AS
 true AS best_is_first, {len(FEATURES)} AS n_features FROM ({fr.PLANTED_SQL})"""
 
 
+# --- second-order boosted trees ------------------------------------------
+
+TREE_BINS, TREE_DEPTH = 16, 3
+#: One tree with every parameter that shapes a split; gradients of the first tree are exact in SQL too.
+FIRST = {"n_estimators": 1, "max_depth": TREE_DEPTH, "learning_rate": 0.1, "min_child_weight": 40, "gamma": 0.5, "reg_alpha": 1.5, "reg_lambda": 2.0,
+         "scale_pos_weight": 1.5, "max_bin": TREE_BINS}
+STUMPS = ({"n_estimators": 1, "max_depth": 1, "max_bin": TREE_BINS}, {"n_estimators": 1, "max_depth": 1, "max_bin": TREE_BINS, "reg_alpha": 300.0, "scale_pos_weight": 2.5})
+
+
+def _first_tree(spark, sf):
+    """The nodes of the first tree by their paths from the root, on all of lineitem."""
+    model = boost.fit_boosted(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", FIRST)
+    tree, paths = model.trees[0], {0: ""}
+    rows = []
+    for node, f in enumerate(tree.feature):  # parents come before their children
+        rows.append((paths[node], FEATURES[f] if f >= 0 else None, model.threshold(f, tree.bin[node]) if f >= 0 else None,
+                     tree.gain[node], tree.value[node], tree.cover[node]))
+        if f >= 0:
+            paths |= {tree.left[node]: paths[node] + "L", tree.left[node] + 1: paths[node] + "R"}
+    return fr.rounded(local_frame(spark, rows, "path string, feature string, threshold double, gain double, value double, cover double"))
+
+
+def _binned_sql(rows: str) -> str:
+    """CTEs p (rows), cuts (per feature) and b (row, feature, bin)."""
+    probs = ", ".join(f"{j}::DOUBLE / {TREE_BINS - 1}" for j in range(1, TREE_BINS - 1))
+    long = " UNION ALL ".join(f"SELECT rid, y, fold, {i} AS f, {c} AS x FROM p" for i, c in enumerate(FEATURES))
+    return f"""
+p AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM ({rows})),
+long AS (SELECT * FROM ({long})),
+q AS (SELECT f, min(x) AS low, unnest(quantile_cont(x, [{probs}])) AS c FROM long GROUP BY f),
+cuts AS MATERIALIZED (SELECT f, list(c ORDER BY c) AS cs FROM (SELECT DISTINCT f, c FROM q WHERE c > low) GROUP BY f),
+b AS MATERIALIZED (SELECT rid, y, fold, f, 1 + len(list_filter(cs, lambda c: c <= x)) AS bin FROM long JOIN cuts USING (f))"""
+
+
+def _split_sql(source: str, keys: str, alpha: float, lam: float, least: float, weight: float) -> str:
+    """The best split of each group `keys` over (…, f, bin, y) rows at the first tree's gradients; gl, hl and g, h are its sums."""
+    def score(g: str, h: str) -> str:
+        return f"pow(greatest(abs({g}) - {alpha}::DOUBLE, 0.0::DOUBLE), 2) / ({h} + {lam}::DOUBLE)"
+
+    w = f"CASE WHEN y = 1 THEN {weight}::DOUBLE ELSE 1.0::DOUBLE END"
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY gain DESC, f, bin) AS place FROM (
+  SELECT *, CASE WHEN hl >= {least}::DOUBLE AND h - hl >= {least}::DOUBLE
+    THEN {score('gl', 'hl')} + {score('(g - gl)', '(h - hl)')} - {score('g', 'h')} ELSE -1.0::DOUBLE END AS gain FROM (
+    SELECT {keys}, f, bin, sum(gb) OVER w - gb AS gl, sum(hb) OVER w - hb AS hl, sum(gb) OVER (PARTITION BY {keys}, f) AS g, sum(hb) OVER (PARTITION BY {keys}, f) AS h
+    FROM (SELECT {keys}, f, bin, sum((0.5::DOUBLE - y) * {w}) AS gb, sum(0.25::DOUBLE * {w}) AS hb FROM {source} GROUP BY {keys}, f, bin)
+    WINDOW w AS (PARTITION BY {keys}, f ORDER BY bin)))) WHERE place = 1"""
+
+
+def _first_tree_sql() -> str:
+    a, lam = FIRST["reg_alpha"], FIRST["reg_lambda"]
+    steps = [_binned_sql(f"SELECT *, 0 AS fold FROM ({fr.PLANTED_SQL})"), "a0 AS (SELECT rid, '' AS path FROM p)"]
+    for d in range(TREE_DEPTH + 1):
+        least = FIRST["min_child_weight"] if d < TREE_DEPTH else 1e18  # nodes of the last level are leaves
+        steps.append(f"s{d} AS MATERIALIZED ({_split_sql(f'(SELECT path, b.* FROM a{d} JOIN b USING (rid))', 'path', a, lam, least, FIRST['scale_pos_weight'])})")
+        steps.append(f"""a{d + 1} AS MATERIALIZED (SELECT rid, a{d}.path || CASE WHEN b.bin < s{d}.bin THEN 'L' ELSE 'R' END AS path
+          FROM a{d} JOIN s{d} USING (path) JOIN b USING (rid, f) WHERE gain >= {FIRST['gamma']})""")
+    every = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(TREE_DEPTH + 1))
+    names = ", ".join(f"'{f}'" for f in FEATURES)
+    inside = f"gain >= {FIRST['gamma']}"
+    value = f"-sign(g) * greatest(abs(g) - {a}::DOUBLE, 0.0::DOUBLE) / (h + {lam}::DOUBLE) * {FIRST['learning_rate']}::DOUBLE"
+    return f"""WITH {', '.join(steps)}
+SELECT path, CASE WHEN {inside} THEN ([{names}])[f + 1] END AS feature, CASE WHEN {inside} THEN {r('cs[bin - 1]')} END AS threshold,
+  {r(f'CASE WHEN {inside} THEN gain ELSE 0.0 END', 'gain')}, {r(value, 'value')}, {r('h', 'cover')}
+FROM ({every}) JOIN cuts USING (f)"""
+
+
+#: The reference ranges' middle, with fewer trees.
+BOOSTED = {"n_estimators": 20, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.85, "colsample_bytree": 0.85, "min_child_weight": 5, "gamma": 0.25,
+           "reg_alpha": 1.0, "reg_lambda": 1.0}
+
+
+def _boosted(spark, sf):
+    """All nodes of all trees, fitted on all of lineitem."""
+    df = fr.prepared(fr.planted(spark, sf))
+    return boost.fit_boosted(df, FEATURES, "y", BOOSTED, key="row_id").nodes(spark)
+
+
+def _boosted_report(spark, sf):
+    """The same model's report on the 40 percent held out."""
+    fit, test = _parts(spark, sf)
+    model = boost.fit_boosted(fit, FEATURES, "y", BOOSTED, key="row_id")
+    return _facts(evaluate.classification_report(train.predict_proba(model, test, FEATURES, "p"), "y", "p", 0.5))
+
+
+def _dealt(spark, sf):
+    return materialise(split.assign_folds(fr.prepared(fr.planted(spark, sf)), "y", "row_id", 5, fr.SEED), "folds")
+
+
+def _cv_stumps(spark, sf):
+    """The accuracy of two stumps on each of five folds, ten models in one fit."""
+    return fr.rounded(boost.cross_validate(_dealt(spark, sf), FEATURES, "y", "fold", list(STUMPS), 5))
+
+
+def _cv_stumps_sql() -> str:
+    folded = f"""SELECT m.*, CAST(u.f AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {fr.sql_digest('row_id')}, row_id) AS rn FROM ({fr.PLANTED_SQL})) m
+JOIN (SELECT g, f, sum(size) OVER (PARTITION BY g ORDER BY f) AS upto, sum(size) OVER (PARTITION BY g ORDER BY f) - size AS lo FROM (
+  SELECT g, f, (c - ((f - start) % 5 + 5) % 5 + 4) // 5 AS size FROM (
+    SELECT g, c, CAST((sum(c) OVER (ORDER BY g) - c) % 5 AS BIGINT) AS start FROM (SELECT y AS g, count(*) AS c FROM ({fr.PLANTED_SQL}) GROUP BY 1)), (SELECT unnest([0, 1, 2, 3, 4]) AS f))
+) u ON m.y = u.g AND m.rn > u.lo AND m.rn <= u.upto"""
+    parts, answers = [_binned_sql(folded), "others AS (SELECT k AS held, b.* FROM b JOIN (SELECT unnest(range(5)) AS k) ON fold <> k)"], []
+    for t, given in enumerate(STUMPS):
+        p = boost.Boost.of(given)
+        parts.append(f"t{t} AS MATERIALIZED ({_split_sql('others', 'held', p.reg_alpha, p.reg_lambda, p.min_child_weight, p.scale_pos_weight)})")
+        # a node says 1 if its gradient is negative beyond the L1 term
+        answers.append(f"""SELECT {t} AS trial, CAST(fold AS INTEGER) AS fold, count(*) AS n,
+  {r(f"count(*) FILTER ((y = 1) = (CASE WHEN b.bin < s.bin THEN gl ELSE g - gl END < -{p.reg_alpha}::DOUBLE)) / count(*)", 'score')}
+  FROM b JOIN t{t} s ON s.held = b.fold AND s.f = b.f GROUP BY fold""")
+    return f"WITH {', '.join(parts)} {' UNION ALL '.join(answers)}"
+
+
+#: All nine parameters in their own ranges, but for fewer and flatter trees.
+GUIDED_SPACE = (("n_estimators", "int", 3, 8), ("max_depth", "int", 2, 5), *boost.BOOST_SPACE[2:])
+
+
+def _guided(spark, sf):
+    """50 guided trials with five folds each: parameters and scores as fitted."""
+    table, _, _ = tpe.guided_search(_dealt(spark, sf), FEATURES, "y", "fold", 50, fr.SEED, GUIDED_SPACE, 5, key="row_id", fixed={"max_bin": 64}, refit=False)
+    return table.select("trial", "score", *[F.col("params")[name].alias(name) for name, *_ in GUIDED_SPACE])
+
+
+def _keyed(spark, sf):
+    """Of equal rows the one with the smallest key stays, in whatever order the rows come."""
+    o = fr.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"),
+        (F.col("o_custkey") % 7).alias("seventh"), (F.col("o_orderkey") % 5).alias("fifth"))
+    cleaned = clean.clean_table(o.orderBy(F.desc("o_orderkey")), "y", keep=("o_orderkey",))
+    return cleaned.select("o_orderkey", "y", *[F.col(c).cast("long").alias(c) for c in ("seventh", "fifth")])
+
+
+KEYED_SQL = """SELECT min(o_orderkey) AS o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y,
+o_custkey % 7 AS seventh, o_orderkey % 5 AS fifth FROM orders GROUP BY 2, 3, 4"""
+
+
 def _model_importance(spark, sf):
     model = train.fit_gbt(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", SMALL_GBT)
     return ranking_facts(train.model_importance(model, FEATURES, 10, spark))
@@ -134,7 +267,7 @@ def _training_run(spark, sf):
     run = workflow.train(
         fr.planted(spark, sf), "y",
         [Derived("price_quantity", "product", ("l_extendedprice", "l_quantity")), Derived("tax_squared", "square", ("l_tax",), "omit")],
-        key="row_id", n_trials=TRIALS, space=SMALL_SPACE, families={"rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})},
+        key="row_id", n_trials=10, space=GUIDED_SPACE, families={"rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})},
     )
     best = evaluate.combined(F.col("accuracy"), F.col("f1"))
     # one row per family; equals go by name, as in select_best
@@ -268,6 +401,12 @@ QUERIES = {
     "predict_proba": (_predict_proba, PROBA_SQL),
     "cv_score": (_cv_score, FOLD_SQL),
     "search": (_search, SEARCH_SQL),
+    "boosted_first_tree": (_first_tree, _first_tree_sql()),
+    "boosted_trees": (_boosted, None),
+    "boosted_report": (_boosted_report, _held_out_sql(fr.PLANTED_SQL)),
+    "cv_boosted": (_cv_stumps, _cv_stumps_sql()),
+    "guided_search": (_guided, None),
+    "clean_table_keyed": (_keyed, KEYED_SQL),
     "model_importance": (_model_importance, ranking_sql(FEATURES)),
     "fit_families": (_families, FAMILIES_SQL),
     "training_run": (_training_run, TRAINING_SQL),

@@ -15,6 +15,7 @@ from ..functions.numbers import quoted
 from ..plans.durable import materialise, widen
 from ..sources.bundles import Bundle
 from .balance import smote
+from .boost import BOOST_SPACE
 from .clean import clean_table
 from .evaluate import best_threshold, classification_report, select_best, threshold_sweep
 from .features import Derived, derive, finite_or_zero
@@ -23,7 +24,8 @@ from .profile import numeric_columns
 from .scale import RobustScale
 from .score import align_features
 from .split import assign_folds, stratified_split
-from .train import SEARCH_SPACE, fit_families, predict_proba, search, training_frame
+from .tpe import guided_search
+from .train import fit_families, predict_proba, search, training_frame
 
 
 @dataclass
@@ -48,7 +50,7 @@ def train(
     fraction: float = 0.85,
     n_trials: int = 50,
     folds: int = 5,
-    space=SEARCH_SPACE,
+    space=BOOST_SPACE,
     forest_trees: int = 100,
     forest_depth: int = 5,
     method: str = "exact",
@@ -57,9 +59,15 @@ def train(
     model_name: str = "gbt",
     families: dict[str, Estimator] | None = None,
     probes: int | None = None,
+    trials_at_once: int = 10,
 ) -> TrainingRun:
     """Run all steps. Any failing step raises; nothing is swallowed.
 
+    With a `space` that has n_estimators, as the default one, second-order
+    boosted trees are searched by guided trials, `trials_at_once` and all their
+    folds in the same jobs. Any other space names parameters of MLlib's boosted
+    trees, whose trials are drawn evenly.
+
     `families` names further tree estimators (label and features columns set),
     fitted on the same rows; the bundle takes the one with the best report on
     the test part. With `probes` the balancing step looks for neighbours in
@@ -82,11 +90,15 @@ def train(
     selected = selected_names(importance, fraction)
     scaler = RobustScale.fit(balanced, selected, method)
     scaled = scaler.transform(balanced.select(key, label, *[quoted(f) for f in selected]))
-    dealt = assign_folds(training_frame(scaled, selected, label, key), label, key, folds, seed)
-    trials, params, model = search(
-        materialise(dealt.select("features", label, "fold"), "scaled"),
-        label, "fold", n_trials, seed, space, folds, parallelism,
-    )
+    if any(name == "n_estimators" for name, *_ in space):
+        dealt = assign_folds(scaled, label, key, folds, seed)
+        trials, params, model = guided_search(dealt, selected, label, "fold", n_trials, seed, space, folds, trials_at_once, key)
+    else:
+        dealt = assign_folds(training_frame(scaled, selected, label, key), label, key, folds, seed)
+        trials, params, model = search(
+            materialise(dealt.select("features", label, "fold"), "scaled"),
+            label, "fold", n_trials, seed, space, folds, parallelism,
+        )
 
     aligned = finite_or_zero(align_features(test_part, selected, specs, keep=[label]), selected)
     tested = scaler.transform(aligned)

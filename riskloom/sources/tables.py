@@ -13,15 +13,15 @@ class TableNotFound(FileNotFoundError):
     """The path does not exist; reported apart from every other read error."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """The existing paths that a pattern names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.globStatus(hadoop)
-    return found is not None and len(found) > 0
+    return [f.getPath().toString() for f in fs.globStatus(hadoop) or []]
 
 
 def require_path(spark: SparkSession, path: str) -> None:
-    if not _exists(spark, path):
+    if not paths_like(spark, path):
         raise TableNotFound(f"no such table: {path}")
 
 
@@ -133,6 +133,6 @@ def read_records(source: SparkSession, path_or_df: str | DataFrame, fields: list
 
 
 __all__ = [
-    "TableNotFound", "frame_of_records", "infer_types", "read_records", "read_table", "records_from",
+    "TableNotFound", "frame_of_records", "infer_types", "paths_like", "read_records", "read_table", "records_from",
     "require_path", "write_table",
 ]
