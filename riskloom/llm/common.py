@@ -26,8 +26,15 @@ def arrow_of(ddl: str) -> pa.Schema:
 _SHIPPED: set[str] = set()
 
 
+#: Whole texts go to Python in batches of about so many bytes, where the session has not set its own bound.
+BATCH_BYTES = 8_000_000
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application; batches of long texts are cut by bytes."""
+    if spark.conf.get(_BOUND, None) == "67108864b":  # Spark's default
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -16,6 +16,8 @@ from ..plans.durable import materialise
 from .common import renamed
 
 SUPPORT = 0.0005
+#: Ids of dropped rows are broadcast up to this number, else their join is shuffled.
+BROADCAST_ROWS = 500_000
 
 #: Runs of white space that are not already one space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -72,7 +74,9 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = groups.where("kept")
     repeats = groups.groupBy("_keep").count().where("count > 1 OR _keep IS NULL").limit(1).count()
     if not repeats:
-        return docs.join(kept.select("_keep"), quoted(id_col) == F.col("_keep"), "left_semi")
+        dropped = groups.where("NOT kept").select("_keep")  # far fewer rows than stay, so whole texts need no shuffle
+        small = dropped.count() <= BROADCAST_ROWS
+        return docs.join(F.broadcast(dropped) if small else dropped, quoted(id_col) == F.col("_keep"), "left_anti")
     # ids that repeat: the digest tells their texts apart, and of wholly equal keys one row stays
     keyed = docs.withColumn("_digest", text_digest(quoted(text_col)))
     same = quoted(id_col).eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("text_sha256"))

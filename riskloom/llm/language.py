@@ -20,7 +20,7 @@ from .tokens import batch_of
 
 PROFILE = 400
 UNKNOWN = "und"
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 EDGE = 32  # stands for a word's edge
 DENSE = 1 << 22
 BROADCAST_ROWS = 500_000
@@ -150,7 +150,9 @@ def fit_profiles(docs: DataFrame, learn: Column, lang_col: str = "lang", text_co
     rows = docs.where(learn & quoted(lang_col).isNotNull()).select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
     counts = rows.mapInArrow(run, ddl).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most).select("lang", "rank", "gram")
+    # filtered as row_number counts, so that Spark keeps `most` rows of a language in each task before it sorts the rest
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return top.select("lang", (F.col("rank") - 1).alias("rank"), "gram")
 
 
 def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = PROFILE) -> DataFrame:

@@ -3,7 +3,7 @@
 Equal shingle sets collapse into one class before anything else. Classes meet
 in the buckets of banded signatures. In each bucket one leader is compared with
 all others; where that leaves several components, the rest is compared in
-packed blocks, but never two members of one component. A comparison looks at the
+packed blocks of bounded size, but never two members of one component. A comparison looks at the
 signatures in batches: after each, the number of agreeing hashes gives a
 posterior of the similarity, and the pair is pruned once the posterior chance
 of reaching the threshold is below `miss`. Every survivor is verified exactly
@@ -28,7 +28,8 @@ HASHES = 128
 BATCH = 16
 MISS = 1e-6
 THRESHOLD = (85, 100)
-BLOCK = 256
+#: A packed block holds about so many documents and bytes of shingle sets; more than that only for a single long document.
+BLOCK, BLOCK_BYTES = 256, 1_000_000
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.default_rng(7)
@@ -129,16 +130,17 @@ def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> Data
     rows of the join are blocks, not pairs. A block pair prunes by signature,
     verifies on the full sets, and passes over components that it has joined.
     """
-    sizes = members.groupBy("grp", "component").count()
+    sizes = members.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("shingles")).alias("bytes"))
     largest = materialise(sizes.groupBy("grp").agg(
         F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("total"),
-        (F.sum("count") - F.max("count")).alias("others"),
+        (F.sum("count") - F.max("count")).alias("others"), F.sum("bytes").alias("total_bytes"),
+        (F.sum("bytes") - F.max_by("bytes", F.struct("count", "component"))).alias("others_bytes"),
     ), "groups")
     known = materialise(members.join(largest, "grp"), "members")
 
     def packed(rows: DataFrame, n: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / F.lit(BLOCK)))
-        return rows.groupBy("grp", block.alias("block")).agg(
+        blocks = F.greatest(F.ceil(F.col(n) / F.lit(BLOCK)), F.ceil(F.col(n + "_bytes") / F.lit(BLOCK_BYTES)))
+        return rows.groupBy("grp", F.pmod(F.xxhash64("node"), blocks).alias("block")).agg(
             *[F.collect_list(c).alias(name + c) for c in ("node", "component", "signature", "shingles")]
         ).drop("block")
 
@@ -151,7 +153,8 @@ def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> Data
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                ln, lp, ls, lt, rn, rp, rs, rt = (batch.column(k)[i].as_py() for k in range(8))
+                ln, lp, ls, rn, rp, rs = (batch.column(k)[i].as_py() for k in (0, 1, 2, 4, 5, 6))
+                lt, rt = ([np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in batch.column(k)[i].values] for k in (3, 7))  # not copied
                 top: dict[int, int] = {}
 
                 def root(c: int) -> int:
@@ -161,7 +164,6 @@ def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> Data
 
                 x, y = np.nonzero(np.array(lp, dtype=np.int64)[:, None] != np.array(rp, dtype=np.int64)[None, :])
                 ls, rs = _matrix(ls), _matrix(rs)
-                lt, rt = ([np.frombuffer(t, dtype=np.uint64) for t in ts] for ts in (lt, rt))
                 a, b = [], []
                 for k in range(0, len(x), 65536):
                     p, q = x[k : k + 65536], y[k : k + 65536]
@@ -181,26 +183,26 @@ def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> Data
     return met.select(*[side + c for side in ("l_", "r_") for c in ("node", "component", "signature", "shingles")]).mapInArrow(run, ddl)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int], n_words: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. texts: (doc_id, text) of all ids in pairs."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold. sets: (node, shingles) of all ids in pairs."""
     ddl = "a long, b long"
     out = arrow_of(ddl)
     part, whole = threshold
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            left, right = (shingle_sets(batch.column(i).to_pylist(), n_words) for i in (2, 3))
-            for i, (x, y) in enumerate(zip(left, right)):
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both and whole * both >= part * (len(x) + len(y) - both):
                     keep.append(i)
-            yield batch_of(out, a=[a[i] for i in keep], b=[b[i] for i in keep])
+            at = np.array(keep, dtype=np.int64)
+            yield batch_of(out, a=batch.column(0).take(at), b=batch.column(1).take(at))
 
-    own = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(run, ddl)
+    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
+    return pairs.join(own, "a").join(other, "b").select("a", "b", "xa", "xb").mapInArrow(run, ddl)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD,
@@ -233,16 +235,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     draw = F.struct(F.xxhash64("bucket", "node"), "node")
     shared = materialise(bands.groupBy("bucket").agg(F.min(draw)["node"].alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "buckets")
     members = materialise(bands.join(shared, "bucket"), "members")
+    # the full sets of all documents that meet another one, written once and read by both verifying steps
+    ids = materialise(members.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    small = ids.count() <= BROADCAST_ROWS
+    meeting = text_rows(docs, id_col, text_col).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    sets = materialise(_shingled(meeting, n_words), "sets")
     star = members.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     first = materialise(_bayes_pairs(star, nodes, needed), "pairs")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        ids = materialise(ids, "ids")
-        small = ids.count() <= BROADCAST_ROWS
-        return text_rows(docs, id_col, text_col).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-
-    texts = materialise(texts_of(first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "texts")
-    links = materialise(_verified(first, texts, threshold, n_words), "links")
+    links = materialise(_verified(first, sets, threshold), "links")
     found = components(links)
 
     label = F.coalesce("component", "node").alias("component")
@@ -251,7 +252,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = labelled.groupBy("bucket", "component").count()
     mixed = materialise(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("grp"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "mixed")
     in_groups = materialise(labelled.join(mixed, "bucket").select("grp", "node", "component").distinct(), "open")
-    sets = _shingled(texts_of(in_groups.select(F.col("node").alias("doc_id")).distinct()), n_words)
     full = in_groups.join(nodes.select("node", "signature"), "node").join(sets, "node")
     found = components(links.unionByName(_block_links(full, needed, threshold)))
 

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-CHUNK_BYTES = 2_000_000
+#: Texts hashed together; the scratch arrays hold about 60 bytes for each of these bytes.
+CHUNK_BYTES = 250_000
 
 _rng = np.random.default_rng(20_240_611)
 _BASE = int(_rng.integers(1 << 62, 1 << 63)) | 1
@@ -20,13 +21,18 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A number of its own for each byte at each of a word's first places, capitals as their small letters.
+_NEAR = 32
+_FOLDED = np.arange(256, dtype=np.uint64)
+_FOLDED[65:91] += np.uint64(32)
+_KEY = np.uint64(_rng.integers(1 << 62, 1 << 63))
 _powers: dict[str, np.ndarray] = {}
 
 
 def _powers_of(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES)
+        size = max(n, 2_000_000)
         grown = np.full(size, np.uint64(base), dtype=np.uint64)
         grown[0] = 1
         _powers[name] = have = np.multiply.accumulate(grown)
@@ -39,8 +45,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _at_place(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Random-like numbers for (place in the word, byte): no linear relation holds between them."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(place.astype(np.uint64) * np.uint64(256) + _FOLDED[byte] + _KEY) + _KEY)
+
+
+_TABLE = _at_place(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR))
+
+
 def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts data[cuts[i]:cuts[i+1]], and the first word of each text (and the end)."""
+    """Hashes of all words of the texts data[cuts[i]:cuts[i+1]], and the first word of each text (and the end).
+
+    A word's hash is the mixed sum of its bytes' numbers (tabulation hashing).
+    """
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(cuts), dtype=np.int64)
@@ -50,12 +68,15 @@ def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     edge = np.zeros(n, dtype=bool)
     edge[inside] = True
     begins[1:] &= space[:-1] | edge[1:]
-    ends = ~space
-    ends[:-1] &= space[1:] | edge[1:]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * _powers_of("up", _BASE, n))])
-    words = mixed((total[end] - total[start]) * _powers_of("down", _INVERSE, n)[start])
-    return words, np.searchsorted(start, cuts)
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(cuts), dtype=np.int64)
+    place = np.arange(n) - np.repeat(start, np.diff(np.concatenate([[0], start[1:], [n]])))  # below 0 before the first word
+    number = _TABLE[np.clip(place, 0, _NEAR - 1) << 8 | data]
+    far = np.flatnonzero((place >= _NEAR) & ~space)
+    number[far] = _at_place(place[far], data[far])
+    number[space] = 0
+    return mixed(np.add.reduceat(number, start)), np.searchsorted(start, cuts)
 
 
 def shingle_sets(texts: list[str | None], n_words: int = WORDS) -> Iterator[np.ndarray]:

@@ -3,7 +3,7 @@
 A text is cut at spaces where the vocabulary's pre-tokenizer always cuts too,
 so the ids of the text are those of its units, one after the other. Units
 repeat, so each worker lets the library encode a unit once and keeps the answer
-in a cache of bounded size.
+in a cache of bounded size; a chunk's texts are cut and put together as arrays.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,14 +22,16 @@ import pyarrow as pa
 CACHED_UNITS = 800_000
 UNITS_AT_ONCE = 4096
 CHARS_AT_ONCE = 4_000_000
+ENCODE_CHARS = 1_000_000
 
 _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
-# letters with marks behind them and perhaps a new line that begins with letters:
-# every pre-tokenizer known to `cut_rule` cuts between these parts
-_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,;:!?]"
-_WORD = re.compile(_LETTERS)
-_PARTS = re.compile(f"({_LETTERS})({_MARKS}*)(?:(\n)({_LETTERS})({_MARKS}*))?")
+# words of these letters are one pre-token each for every pre-tokenizer known to `cut_rule`
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PLAIN, _MARK = (np.isin(np.arange(256), np.frombuffer(b, dtype=np.uint8)) for b in (string.ascii_letters.encode(), b".,;:!?"))
+#: Bytes that begin a character which is surely no white space; a space before any other one is not cut.
+_VISIBLE = np.zeros(256, dtype=bool)
+_VISIBLE[33:127] = _VISIBLE[0xC3:0xE0] = _VISIBLE[0xE4:0xF5] = True
 
 
 def cut_rule(spec: dict) -> str:
@@ -91,7 +95,12 @@ class UnitCache(dict):
 
 
 class TextEncoder:
-    """Ids of whole texts, as the library's `encode(text, add_special_tokens=False)`; null counts as empty."""
+    """Ids of whole texts, as the library's `encode(text, add_special_tokens=False)`; null counts as empty.
+
+    The texts of a chunk are cut as one byte array, and Arrow numbers its
+    distinct units. Only those are looked up or encoded; the chunk's ids are
+    then gathered by array indexing.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,8 +115,7 @@ class TextEncoder:
         if any(" " in t for t in self.added):
             self.rule = "whole"
         self.symbols = byte_symbols()
-        self.heads = UnitCache(self._encode)
-        self.rest = UnitCache(lambda units: self._encode([" " + u for u in units])) if self.rule == "joins" else self.heads
+        self.units = UnitCache(self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -119,59 +127,89 @@ class TextEncoder:
         for text in texts:
             part.append(text or "")
             chars += len(part[-1])
-            if chars >= CHARS_AT_ONCE:
+            if chars >= ENCODE_CHARS:
                 yield from self._part(part)
                 part, chars = [], 0
         yield from self._part(part)
 
-    def _one_word(self, word: str, spaced: bool) -> bytes:
-        """A word of plain letters is one pre-token: the library's model takes it in its byte symbols."""
-        if self.rule == "parts":
-            word = word.lower()
-        text = ("\u0120" if spaced else "") + (word if word.isascii() else "".join(map(self.symbols.__getitem__, word.encode())))
-        ids = [t.id for t in self.library.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _fill(self, cache: UnitCache, units: set[str]) -> None:
-        """Prepare units; those of several simple parts are put together from the parts' ids."""
-        whole, split = set(), []
-        for u in cache.missing(units):
-            m = _PARTS.fullmatch(u)
-            if m and (m[2] or m[3]):
-                split.append((u, m[1], [x for x in m.groups()[1:] if x]))
+    def _found(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units. A word of plain letters, perhaps after a space, is one pre-token: the library's model takes it in its byte symbols."""
+        cache, rest = self.units, []
+        found = list(map(cache.get, units))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if len(cache) + len(missing) > cache.limit:
+            cache.clear()  # what was found is at hand
+        tokenize, symbol, lower, fits = self.library.model.tokenize, self.symbols.__getitem__, self.rule == "parts", _WORD.fullmatch
+        for i in missing:
+            u = units[i]
+            if fits(u):
+                word = u.lower() if lower else u
+                text = word.replace(" ", "\u0120") if word.isascii() else "".join(map(symbol, word.encode()))
+                found[i] = cache[u] = array("I", [t.id for t in tokenize(text)]).tobytes()
             else:
-                whole.add(u)
-        tails = {x for _, _, parts in split for x in parts}
-        words = {w for _, w, _ in split if w not in cache} | whole
-        same = cache is self.heads
-        for into, need in ((cache, words | tails if same else words), (self.heads, set() if same else tails)):
-            rest = []
-            for x in need:
-                if x not in into:
-                    if _WORD.fullmatch(x):
-                        into[x] = self._one_word(x, spaced=into is self.rest and not same)
-                    else:
-                        rest.append(x)
-            for i in range(0, len(rest), UNITS_AT_ONCE):
-                into.update(zip(rest[i : i + UNITS_AT_ONCE], into.encode(rest[i : i + UNITS_AT_ONCE])))
-        for u, word, parts in split:
-            cache[u] = cache[word] + b"".join(map(self.heads.__getitem__, parts))
+                rest.append(i)
+        for k in range(0, len(rest), UNITS_AT_ONCE):
+            part = rest[k : k + UNITS_AT_ONCE]
+            for i, ids in zip(part, self._encode([units[i] for i in part])):
+                found[i] = cache[units[i]] = ids
+        return found
+
+    def _cut(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, where units begin in them and the end, first unit of each text and the end) of texts that follow one another.
+
+        Besides spaces, units end where letters meet marks and around a line
+        break between them, where both kinds of pre-tokenizer cut as well.
+        """
+        n, space = len(data), data == 32
+        after = np.zeros(n, dtype=np.uint8)
+        after[1:] = data[:-1]
+        latin = (after == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7)  # a letter's second byte
+        plain, mark, line = _PLAIN[data], _MARK[data], data == 10
+        ends_word, begins_word = plain | latin, plain.copy()
+        begins_word[:-1] |= latin[1:]
+        visible = ends_word | mark
+        begins = np.zeros(n, dtype=bool)
+        begins[1:] = (ends_word[:-1] & (mark | line)[1:]) | (mark[:-1] & (begins_word | line)[1:])
+        begins[2:] |= visible[:-2] & line[1:-1] & begins_word[2:]
+        filled = starts[ends > starts]
+        if self.rule == "joins":
+            begins[:-1] |= space[:-1] & _VISIBLE[data[1:]]
+            begins[filled[1:] - 1] &= ~space[filled[1:] - 1]  # nothing follows the last byte of a text
+        else:
+            begins[1:] |= space[:-1]
+            begins &= ~space
+        first = np.zeros(n, dtype=bool)
+        first[filled] = True
+        begins |= first if self.rule == "joins" else first & ~space
+        at = np.flatnonzero(begins)
+        unit = np.concatenate([np.searchsorted(at, starts), [len(at)]])
+        if self.rule == "joins":
+            return data, np.concatenate([at, [n]]), unit
+        kept = ~space
+        return data[kept], np.concatenate([np.cumsum(kept)[at] - 1, [int(kept.sum())]]), unit
 
     def _part(self, texts: list[str]) -> Iterator[bytes]:
         if self.rule == "whole":
             yield from (self._encode([t])[0] for t in texts)
             return
-        if self.rule == "parts":
-            rows = [t.split(" ") for t in texts]
-            self._fill(self.heads, set().union(*rows))
-            yield from map(self.heads.joined, rows)
-            return
         # an added token cuts its text before the pattern does: such texts go to the library whole
-        rows = [None if any(a in t for a in self.added) else spaced_units(t) for t in texts]
-        self._fill(self.rest, set().union(*(r[1:] for r in rows if r)))
-        self.heads.prepare({r[0] for r in rows if r})
-        for text, row in zip(texts, rows):
-            yield self._encode([text])[0] if row is None else self.heads[row[0]] + self.rest.joined(row[1:])
+        alone = {i: self._encode([t])[0] for i, t in enumerate(texts) if any(a in t for a in self.added)} if self.rule == "joins" else {}
+        raw = [b"" if i in alone else t.encode() for i, t in enumerate(texts)]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        if not len(ends) or not ends[-1]:
+            yield from (alone.get(i, b"") for i in range(len(texts)))
+            return
+        data, offsets, first = self._cut(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+        units = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        found, which = self._found(units.dictionary.to_pylist()), units.indices.to_numpy()
+        flat = id_array(b"".join(found))
+        sizes = np.array([len(f) for f in found], dtype=np.int64) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
+        for i, (a, b) in enumerate(zip(upto[first[:-1]].tolist(), upto[first[1:]].tolist())):
+            yield alone[i] if i in alone else ids[a:b].tobytes()
 
     @property
     def n_ids(self) -> int:
