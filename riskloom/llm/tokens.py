@@ -15,11 +15,14 @@ import string
 import struct
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 
 CACHED_UNITS = 800_000
+#: Of `TextEncoder`: about 50 MB in each worker.
+KEPT_UNITS = 200_000
 UNITS_AT_ONCE = 4096
 CHARS_AT_ONCE = 4_000_000
 ENCODE_CHARS = 1_000_000
@@ -115,7 +118,7 @@ class TextEncoder:
         if any(" " in t for t in self.added):
             self.rule = "whole"
         self.symbols = byte_symbols()
-        self.units = UnitCache(self._encode)
+        self.units = UnitCache(self._encode, KEPT_UNITS)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -137,8 +140,9 @@ class TextEncoder:
         cache, rest = self.units, []
         found = list(map(cache.get, units))
         missing = [i for i, f in enumerate(found) if f is None]
-        if len(cache) + len(missing) > cache.limit:
-            cache.clear()  # what was found is at hand
+        if len(cache) + len(missing) > cache.limit:  # what was found is at hand, so the older half may go
+            for u in list(islice(cache, max(len(cache) // 2, len(cache) + len(missing) - cache.limit))):
+                del cache[u]
         tokenize, symbol, lower, fits = self.library.model.tokenize, self.symbols.__getitem__, self.rule == "parts", _WORD.fullmatch
         for i in missing:
             u = units[i]
