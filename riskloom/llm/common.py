@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 
 import pyarrow as pa
@@ -24,6 +26,9 @@ def arrow_of(ddl: str) -> pa.Schema:
 
 
 _SHIPPED: set[str] = set()
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+if not hasattr(_LIBC, "malloc_trim"):
+    _LIBC = None
 
 
 #: Whole texts go to Python in batches of about so many bytes, where the session has not set its own bound.
@@ -43,6 +48,13 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the machine: workers live through many stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import quoted
 from ..plans.durable import materialise
-from .common import arrow_of, renamed, ship, text_rows
+from .common import arrow_of, give_back, renamed, ship, text_rows
 from .tokens import batch_of
 
 PROFILE = 400
@@ -142,7 +142,9 @@ def fit_profiles(docs: DataFrame, learn: Column, lang_col: str = "lang", text_co
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by.setdefault(lang, []).append(text)
             for lang, texts in by.items():
-                held[lang] = [merged([*held.get(lang, []), *(Chunk(part).counts() for part in chunks(texts))])]
+                for part in chunks(texts):  # merged one by one: a chunk's counts are far larger than their share of the whole
+                    held[lang] = [merged([*held.get(lang, []), Chunk(part).counts()])]
+            give_back()
         for lang, [(grams, n)] in held.items():
             yield batch_of(out, lang=[lang] * len(grams), gram=grams, n=n)
 
@@ -193,6 +195,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_
                     best.append(langs[i])
                     score.append(1.0 - float(far[i]) / (most * len(top)))
             yield batch_of(out, doc_id=batch.column(0), lang_pred=best, score=score)
+            give_back()
 
     return renamed(text_rows(docs, id_col, text_col).mapInArrow(run, ddl), id_col)
 

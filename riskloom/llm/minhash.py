@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.durable import materialise
-from .common import arrow_of, renamed, text_rows
+from .common import arrow_of, give_back, renamed, text_rows
 from .components import components
 from .shingles import WORDS, shingle_sets
 from .tokens import batch_of
@@ -178,6 +178,7 @@ def _block_links(members: DataFrame, needed, threshold: tuple[int, int]) -> Data
                             a.append(ln[u])
                             b.append(rn[v])
                 yield batch_of(out, a=a, b=b)
+            give_back()
 
     met = left.join(right, "grp")
     return met.select(*[side + c for side in ("l_", "r_") for c in ("node", "component", "signature", "shingles")]).mapInArrow(run, ddl)

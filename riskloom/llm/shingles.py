@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import give_back
+
 WORDS = 5
 #: Texts hashed together; the scratch arrays hold about 60 bytes for each of these bytes.
 CHUNK_BYTES = 250_000
@@ -93,6 +95,7 @@ def shingle_sets(texts: list[str | None], n_words: int = WORDS) -> Iterator[np.n
             yield from _sets(part, n_words)
             part, size = [], 0
     yield from _sets(part, n_words)
+    give_back()
 
 
 def _sets(texts: list[bytes], n_words: int) -> Iterator[np.ndarray]:

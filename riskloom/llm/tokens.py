@@ -20,6 +20,8 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
+
 CACHED_UNITS = 800_000
 #: Of `TextEncoder`: about 50 MB in each worker.
 KEPT_UNITS = 200_000
@@ -214,6 +216,8 @@ class TextEncoder:
         ids = flat[np.repeat(begins[which] - upto[:-1], n) + np.arange(upto[-1])]
         for i, (a, b) in enumerate(zip(upto[first[:-1]].tolist(), upto[first[1:]].tolist())):
             yield alone[i] if i in alone else ids[a:b].tobytes()
+        del raw, data, units, found, flat, which, ids, n, upto
+        give_back()
 
     @property
     def n_ids(self) -> int:
