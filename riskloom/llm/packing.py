@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.durable import materialise
 from .common import arrow_of, renamed, text_rows
-from .tokens import batch_of, id_array, text_encoder
+from .tokens import CACHED_UNITS, CHARS_AT_ONCE, batch_of, id_array, text_encoder
 
 WINDOW = 4096
 GROUP_PIECES = 4096
@@ -75,13 +75,14 @@ def fillings(lengths: np.ndarray, window: int) -> Iterator[list[int]]:
             yield one
 
 
-def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+              kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE) -> DataFrame:
     """Each document's ids with the end id, cut at multiples of the window: one row per piece."""
     out = arrow_of(PIECES)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        coder = text_encoder(path)
+        coder = text_encoder(path, kept_units, chars)
         for batch in batches:
             cols: dict[str, list] = {f.name: [] for f in out}
             for doc, raw in zip(batch.column(0).to_pylist(), coder(batch.column(1).to_pylist())):
@@ -97,14 +98,15 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_
 
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, group_pieces: int = GROUP_PIECES,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null or empty text is the end id alone. Rows that repeat are packed each
     for itself; a null id is kept. An empty table gives an empty one.
     `group_pieces` bounds what one task packs; only lengths travel, never ids.
+    `kept_units` and `chars` bound a worker's memory while it tokenises.
     """
-    pieces = materialise(pieces_of(docs, path, end_id, window, id_col, text_col), "pieces")
+    pieces = materialise(pieces_of(docs, path, end_id, window, id_col, text_col, kept_units, chars), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def pack_group(rows: pd.DataFrame) -> pd.DataFrame:

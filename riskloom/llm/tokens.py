@@ -23,11 +23,8 @@ import pyarrow as pa
 from .common import give_back
 
 CACHED_UNITS = 800_000
-#: Of `TextEncoder`: about 50 MB in each worker.
-KEPT_UNITS = 200_000
 UNITS_AT_ONCE = 4096
 CHARS_AT_ONCE = 4_000_000
-ENCODE_CHARS = 1_000_000
 
 _LOOSE = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
@@ -107,7 +104,7 @@ class TextEncoder:
     then gathered by array indexing.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,7 +117,8 @@ class TextEncoder:
         if any(" " in t for t in self.added):
             self.rule = "whole"
         self.symbols = byte_symbols()
-        self.units = UnitCache(self._encode, KEPT_UNITS)
+        self.units = UnitCache(self._encode, kept_units)
+        self.chars = chars
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -132,7 +130,7 @@ class TextEncoder:
         for text in texts:
             part.append(text or "")
             chars += len(part[-1])
-            if chars >= ENCODE_CHARS:
+            if chars >= self.chars:
                 yield from self._part(part)
                 part, chars = [], 0
         yield from self._part(part)
@@ -227,10 +225,10 @@ class TextEncoder:
 _HELD: dict[str, TextEncoder] = {}
 
 
-def text_encoder(path: str) -> TextEncoder:
-    """The encoder of this worker for a vocabulary file; kept between tasks."""
+def text_encoder(path: str, kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE) -> TextEncoder:
+    """The encoder of this worker for a vocabulary file; kept between tasks. Fewer units and characters at once take less memory and more time."""
     if path not in _HELD:
-        _HELD[path] = TextEncoder(path)
+        _HELD[path] = TextEncoder(path, kept_units, chars)
     return _HELD[path]
 
 
