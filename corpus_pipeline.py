@@ -38,7 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    # workers come here with what the stages before have left, hence the smaller bounds
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, kept_units=200_000, chars=1_000_000)
 
 
 STAGES = [
