@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window, functions as F
 
 from ..operators import boost, clean, evaluate, split, tpe, train, workflow
@@ -123,9 +125,13 @@ FIRST = {"n_estimators": 1, "max_depth": TREE_DEPTH, "learning_rate": 0.1, "min_
 STUMPS = ({"n_estimators": 1, "max_depth": 1, "max_bin": TREE_BINS}, {"n_estimators": 1, "max_depth": 1, "max_bin": TREE_BINS, "reg_alpha": 300.0, "scale_pos_weight": 2.5})
 
 
-def _first_tree(spark, sf):
+#: The same tree grown leaf by leaf.
+FIRST_LEAVES = FIRST | {"num_leaves": 6, "max_depth": 4}
+
+
+def _first_tree(params, spark, sf):
     """The nodes of the first tree by their paths from the root, on all of lineitem."""
-    model = boost.fit_boosted(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", FIRST)
+    model = boost.fit_boosted(fr.prepared(fr.planted(spark, sf)), FEATURES, "y", params)
     tree, paths = model.trees[0], {0: ""}
     rows = []
     for node, f in enumerate(tree.feature):  # parents come before their children
@@ -162,22 +168,30 @@ def _split_sql(source: str, keys: str, alpha: float, lam: float, least: float, w
     WINDOW w AS (PARTITION BY {keys}, f ORDER BY bin)))) WHERE place = 1"""
 
 
-def _first_tree_sql() -> str:
+def _first_tree_sql(depth: int, num_leaves: int = 0) -> str:
     a, lam = FIRST["reg_alpha"], FIRST["reg_lambda"]
     steps = [_binned_sql(f"SELECT *, 0 AS fold FROM ({fr.PLANTED_SQL})"), "a0 AS (SELECT rid, '' AS path FROM p)"]
-    for d in range(TREE_DEPTH + 1):
-        least = FIRST["min_child_weight"] if d < TREE_DEPTH else 1e18  # nodes of the last level are leaves
+    for d in range(depth + 1):
+        least = FIRST["min_child_weight"] if d < depth else 1e18  # nodes of the last level are leaves
         steps.append(f"s{d} AS MATERIALIZED ({_split_sql(f'(SELECT path, b.* FROM a{d} JOIN b USING (rid))', 'path', a, lam, least, FIRST['scale_pos_weight'])})")
         steps.append(f"""a{d + 1} AS MATERIALIZED (SELECT rid, a{d}.path || CASE WHEN b.bin < s{d}.bin THEN 'L' ELSE 'R' END AS path
           FROM a{d} JOIN s{d} USING (path) JOIN b USING (rid, f) WHERE gain >= {FIRST['gamma']})""")
-    every = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(TREE_DEPTH + 1))
+    every = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(depth + 1))
     names = ", ".join(f"'{f}'" for f in FEATURES)
-    inside = f"gain >= {FIRST['gamma']}"
+    inside, kept = f"gain >= {FIRST['gamma']}", "true"
+    if num_leaves:  # one after another, of the open leaves the one that gains most
+        steps.append(f"every AS MATERIALIZED ({every})")
+        steps.append("c0 AS (SELECT '' AS path WHERE false)")
+        for i in range(num_leaves - 1):
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT path FROM c{i} UNION ALL (SELECT path FROM every WHERE {inside} AND path NOT IN (SELECT path FROM c{i})
+              AND (path = '' OR left(path, -1) IN (SELECT path FROM c{i})) ORDER BY gain DESC LIMIT 1))""")
+        done = f"(SELECT path FROM c{num_leaves - 1})"
+        every, inside, kept = "SELECT * FROM every", f"path IN {done}", f"(path = '' OR left(path, -1) IN {done})"
     value = f"-sign(g) * greatest(abs(g) - {a}::DOUBLE, 0.0::DOUBLE) / (h + {lam}::DOUBLE) * {FIRST['learning_rate']}::DOUBLE"
     return f"""WITH {', '.join(steps)}
 SELECT path, CASE WHEN {inside} THEN ([{names}])[f + 1] END AS feature, CASE WHEN {inside} THEN {r('cs[bin - 1]')} END AS threshold,
   {r(f'CASE WHEN {inside} THEN gain ELSE 0.0 END', 'gain')}, {r(value, 'value')}, {r('h', 'cover')}
-FROM ({every}) JOIN cuts USING (f)"""
+FROM ({every}) JOIN cuts USING (f) WHERE {kept}"""
 
 
 #: The reference ranges' middle, with fewer trees.
@@ -209,6 +223,19 @@ def _boosted_report(spark, sf):
     return _facts(evaluate.classification_report(train.predict_proba(model, test, FEATURES, "p"), "y", "p", 0.5))
 
 
+#: Leaf by leaf, rows drawn by their gradients; the searched ranges' middle, with fewer trees.
+LEAVES = {"n_estimators": 8, "num_leaves": 31, "max_depth": 8, "learning_rate": 0.3, "colsample_bytree": 0.85, "min_child_weight": 0.001, "min_child_samples": 20,
+          "reg_alpha": 1.0, "reg_lambda": 1.0, "top_rate": 0.2, "other_rate": 0.1}
+
+
+def _boosted_families(spark, sf):
+    """Second-order trees that grow leaf by leaf beside a forest, each with its own threshold."""
+    fit, test = _parts(spark, sf)
+    families = {"leaves": boost.BoostedClassifier("y", LEAVES), "rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})}
+    results, _, _ = train.fit_families(families, fit, test, FEATURES, "y")
+    return _facts(results, "model")
+
+
 def _dealt(spark, sf):
     return materialise(split.assign_folds(fr.prepared(fr.planted(spark, sf)), "y", "row_id", 5, fr.SEED), "folds")
 
@@ -279,6 +306,9 @@ def _families(spark, sf):
 FAMILIES_SQL = f"SELECT model, {_CLASSES}, true AS good FROM ({fr.parts_sql(fr.PLANTED_SQL)}), (SELECT unnest(['gbt', 'rf']) AS model) WHERE is_test GROUP BY model"
 
 
+BOOSTED_FAMILIES_SQL = FAMILIES_SQL.replace("['gbt', 'rf']", "['leaves', 'rf']")
+
+
 def _training_run(spark, sf):
     """The whole run with a second family: one row each, and whether the bundle holds the better one."""
     run = workflow.train(
@@ -418,7 +448,9 @@ QUERIES = {
     "predict_proba": (_predict_proba, PROBA_SQL),
     "cv_score": (_cv_score, FOLD_SQL),
     "search": (_search, SEARCH_SQL),
-    "boosted_first_tree": (_first_tree, _first_tree_sql()),
+    "boosted_first_tree": (partial(_first_tree, FIRST), _first_tree_sql(TREE_DEPTH)),
+    "boosted_first_leaves": (partial(_first_tree, FIRST_LEAVES), _first_tree_sql(FIRST_LEAVES["max_depth"], FIRST_LEAVES["num_leaves"])),
+    "boosted_families": (_boosted_families, BOOSTED_FAMILIES_SQL),
     "boosted_trees": (_boosted, BOOSTED_SQL),
     "boosted_report": (_boosted_report, _held_out_sql(fr.PLANTED_SQL)),
     "cv_boosted": (_cv_stumps, _cv_stumps_sql()),

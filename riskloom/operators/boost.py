@@ -12,14 +12,22 @@ Several models grow in the same jobs: `model` is one more grouping key. The five
 models of a cross-validation, or all models of a batch of trials, cost as many
 jobs as one model does.
 
+With `num_leaves` a tree grows leaf by leaf instead: always the leaf that gains
+most is split. A job looks at the children of all leaves that may still get
+their turn, so a tree takes as many jobs as it is deep, not as it has leaves;
+what was looked at in vain is cut off. With `top_rate` and `other_rate` each
+tree sees the rows of large gradients and a weighted part of the others.
+
 Gradients are added as 64-bit integers (`UNIT` of one), which makes every sum
 exact: the trees do not depend on how rows are dealt out, nor on lost tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field, fields
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +52,7 @@ DRIVER_CELLS = 500_000
 #: Quantiles come from all rows up to this number, beyond it from about as many rows, drawn by their hash.
 CUT_ROWS = 200_000
 
-# The search ranges (name, kind, low, high).
+# The search ranges (name, kind, low, high), those of trees that grow leaf by leaf below.
 BOOST_SPACE = (
     ("n_estimators", "int", 500, 1200),
     ("max_depth", "int", 5, 12),
@@ -56,6 +64,17 @@ BOOST_SPACE = (
     ("reg_alpha", "float", 0.0, 2.0),
     ("reg_lambda", "float", 0.0, 2.0),
 )
+LEAF_SPACE = (
+    ("n_estimators", "int", 500, 1200),
+    ("max_depth", "int", 5, 12),
+    ("learning_rate", "log", 0.005, 0.1),
+    ("num_leaves", "int", 20, 100),
+    ("subsample", "float", 0.7, 1.0),
+    ("colsample_bytree", "float", 0.7, 1.0),
+    ("min_child_samples", "int", 5, 100),
+    ("reg_alpha", "float", 0.0, 2.0),
+    ("reg_lambda", "float", 0.0, 2.0),
+)
 
 
 @dataclass(frozen=True)
@@ -74,6 +93,20 @@ class Boost:
     scale_pos_weight: float = 1.0
     max_bin: int = 256
     seed: int = 42
+    #: Leaves of a tree that grows leaf by leaf, where a `max_depth` of 0 sets no limit; 0: level by level.
+    num_leaves: int = 0
+    min_child_samples: int = 0
+    #: The share of rows with the largest gradients that each tree sees, and the share of all rows drawn from the others.
+    top_rate: float = 0.0
+    other_rate: float = 0.0
+
+    def __post_init__(self):
+        if self.num_leaves == 1 or self.num_leaves < 0:
+            raise ValueError("num_leaves must be 0 or at least 2")
+        if self.top_rate and (not 0 < self.top_rate < 1 or not 0 < self.other_rate <= 1 - self.top_rate):
+            raise ValueError("top_rate and other_rate must be above 0 and at most 1 together")
+        if self.top_rate and self.subsample < 1.0:
+            raise ValueError("rows are drawn either evenly or by their gradients")
 
     @classmethod
     def of(cls, params: dict | None) -> Boost:
@@ -138,6 +171,7 @@ class _Grown:
     kept: int = 0  # trees whose leaves the stored margins hold
     columns: list[int] = field(default_factory=list)
     open: dict[int, tuple[int, int] | None] = field(default_factory=dict)  # node -> its sums, None if not yet known
+    floor: int = 0  # rows of this gradient cell or above it are seen whole by the tree in hand
 
     def begin(self) -> None:
         tree = len(self.trees)
@@ -172,6 +206,9 @@ class _Grown:
                 opened[left], opened[left + 1] = (gl, hl), (g - gl, h - hl)
         self.open = opened
 
+    def full(self, depth: int) -> bool:
+        return depth >= self.params.max_depth
+
     def finish(self) -> None:
         for node, sums in self.open.items():
             self.close(node, sums)
@@ -186,9 +223,92 @@ class _Grown:
         return {
             "trees": [t.packed() for t in later], "hand": self.trees[-1].packed() if self.open else None, "slots": slots, "nodes": list(self.open),
             "columns": self.columns, "fold": self.fold, "subsample": p.subsample, "seed": p.seed, "tree": len(self.trees) - 1, "weight": p.scale_pos_weight,
+            "counted": p.min_child_samples > 0, "top": p.top_rate, "other": p.other_rate, "floor": self.floor,
         }
 
 
+@dataclass
+class _LeafGrown(_Grown):
+    """A model whose trees split the leaf of the largest gain first.
+
+    `best` holds the split of every node looked at that is worth one, `place`
+    the nodes' numbers in a full binary tree, which order equal gains.
+    """
+
+    best: dict[int, tuple] = field(default_factory=dict)
+    place: dict[int, int] = field(default_factory=dict)
+
+    def begin(self) -> None:
+        super().begin()
+        self.best, self.place = {}, {0: 1}
+
+    def full(self, depth: int) -> bool:
+        return False
+
+    def take(self, found: dict[int, tuple]) -> None:
+        """Repeat the choice of leaves as far as their gains are known, then open the children of all that may follow."""
+        p = self.params
+        for node, sums in self.open.items():
+            best = found.get(node)
+            self.close(node, sums if best is None else best[:2])
+            if best and best[3] is not None and best[2] > LEAST_GAIN and best[2] >= p.gamma:
+                self.best[node] = best
+        self.open = {}
+        while not self.open:
+            chosen, unknown = self._chosen()
+            if not unknown:
+                self.trees[-1] = _pruned(self.trees[-1], chosen)
+                return
+            for node in unknown:
+                self._open_sides(node)
+
+    def _chosen(self) -> tuple[set[int], list[int]]:
+        """(the nodes split, those among them whose sides are unknown), as if unknown sides gained nothing.
+
+        Unknown sides can only take the turn of others, so no node that is split in the end is missing.
+        """
+        tree, chosen, unknown = self.trees[-1], set(), []
+        waiting = [self._turn(0)] if 0 in self.best else []
+        while waiting and len(chosen) < self.params.num_leaves - 1:
+            node = heapq.heappop(waiting)[2]
+            chosen.add(node)
+            if tree.feature[node] < 0:
+                unknown.append(node)
+                continue
+            for child in (tree.left[node], tree.left[node] + 1):
+                if child in self.best:
+                    heapq.heappush(waiting, self._turn(child))
+        return chosen, unknown
+
+    def _turn(self, node: int) -> tuple[float, int, int]:
+        return -self.best[node][2], self.place[node], node
+
+    def _open_sides(self, node: int) -> None:
+        g, h, gain, feature, at, gl, hl = self.best[node]
+        left = self.trees[-1].split(node, feature, at, gain)
+        for side, sums in ((left, (gl, hl)), (left + 1, (g - gl, h - hl))):
+            self.place[side] = 2 * self.place[node] + side - left
+            if self.place[side].bit_length() - 1 == self.params.max_depth:  # a leaf for certain
+                self.close(side, sums)
+            else:
+                self.open[side] = sums
+
+
+def _pruned(tree: Tree, chosen: set[int]) -> Tree:
+    """The tree with the chosen splits only."""
+    out, at = Tree(), [(0, 0)]
+    for old, new in at:
+        out.value[new], out.cover[new] = tree.value[old], tree.cover[old]
+        if old in chosen:
+            left = out.split(new, tree.feature[old], tree.bin[old], tree.gain[old])
+            at += [(tree.left[old], left), (tree.left[old] + 1, left + 1)]
+    return out
+
+
+def _grown(params: Boost, n_features: int, fold: int | None = None) -> _Grown:
+    return (_LeafGrown if params.num_leaves else _Grown)(params, n_features, fold)
+
+
 _BLOCK = "n int, bins binary, y binary, w binary, fold binary, hash binary, margins binary"
 
 
@@ -236,10 +356,55 @@ def _gradients(block: _Block, i: int, model: dict, rows: np.ndarray) -> tuple[np
     return np.rint((p - y) * w * UNIT), np.maximum(np.rint(p * (1.0 - p) * w * UNIT), 1.0)
 
 
+def _used(block: _Block, model: dict) -> np.ndarray:
+    """The rows that the model learns from."""
+    return block.fold != model["fold"] if model["fold"] is not None else np.ones(block.n, dtype=bool)
+
+
+def _size_cell(g: np.ndarray) -> np.ndarray:
+    """The cell of a gradient's size: 32 cells from each power of two to the next."""
+    part, power = np.frexp(np.abs(g))
+    return np.where(g == 0, 0, (power + 1) * 32 + ((part - 0.5) * 64).astype(np.int64))
+
+
+def _set_floors(blocks: DataFrame, models: list[_Grown]) -> None:
+    """For models that draw rows by their gradients, the lowest cell of those that hold their top share, by one count."""
+    tasks = [m.task() for m in models]
+    ddl = "model int, cell int, n long"
+    out = _schema(blocks.sparkSession, ddl)
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for block in _blocks_of(batches, len(tasks)):
+            for i, model in enumerate(tasks):
+                if model["top"] and model["nodes"]:
+                    cells = np.bincount(_size_cell(_gradients(block, i, model, np.flatnonzero(_used(block, model)))[0]), minlength=1)
+                    both = np.zeros(max(len(cells), len(held.get(i, cells))), dtype=np.int64)
+                    both[: len(cells)] += cells
+                    if i in held:
+                        both[: len(held[i])] += held[i]
+                    held[i] = both
+        for i, n in held.items():
+            cell = np.flatnonzero(n)
+            yield _record(out, model=np.full(len(cell), i, dtype=np.int32), cell=cell.astype(np.int32), n=n[cell])
+
+    counts: dict[int, dict[int, int]] = {}
+    for r in blocks.mapInArrow(add, ddl).groupBy("model", "cell").agg(F.sum("n").alias("n")).collect():  # at most 64 x 32 a model
+        counts.setdefault(r.model, {})[r.cell] = r.n
+    for i, cells in counts.items():
+        want, seen = models[i].params.top_rate * sum(cells.values()), 0
+        for cell in sorted(cells, reverse=True):
+            seen += cells[cell]
+            models[i].floor = cell
+            if seen >= want:
+                break
+
+
 def _cells(blocks: DataFrame, models: list[dict], n_bins: int) -> DataFrame:
-    """(model, node, feature, bin, g, h): each task's sums over the rows of the open nodes."""
-    ddl = "model int, node int, feature int, bin int, g long, h long"
+    """(model, node, feature, bin, g, h, n): each task's sums over the rows of the open nodes; n is 0 where no model asks for it."""
+    ddl = "model int, node int, feature int, bin int, g long, h long, n long"
     out = _schema(blocks.sparkSession, ddl)
+    planes = 3 if any(m["counted"] for m in models) else 2
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -252,7 +417,8 @@ def _cells(blocks: DataFrame, models: list[dict], n_bins: int) -> DataFrame:
                     yield _record(
                         out, model=np.full(len(node), i, dtype=np.int32), node=np.array(model["nodes"], dtype=np.int32)[node],
                         feature=np.array(model["columns"], dtype=np.int32)[feature], bin=cell.astype(np.int32),
-                        g=sums[0][node, feature, cell], h=sums[1][node, feature, cell])
+                        g=sums[0][node, feature, cell], h=sums[1][node, feature, cell],
+                        n=sums[2][node, feature, cell] if planes == 3 else np.zeros(len(node), dtype=np.int64))
             held.clear()
 
         for block in _blocks_of(batches, len(models)):
@@ -260,24 +426,28 @@ def _cells(blocks: DataFrame, models: list[dict], n_bins: int) -> DataFrame:
                 if not model["nodes"]:
                     continue
                 slot = model["slots"][walk(block.bins, *model["hand"][:3])]
-                use = slot >= 0
-                if model["fold"] is not None:
-                    use &= block.fold != model["fold"]
+                use = (slot >= 0) & _used(block, model)
                 if model["subsample"] < 1.0:
                     use &= _draw(block.hash, model["seed"], model["tree"]) < model["subsample"]
                 rows = np.flatnonzero(use)
                 if not len(rows):
                     continue
                 g, h = _gradients(block, i, model, rows)
+                if model["top"]:
+                    large = _size_cell(g) >= model["floor"]
+                    part = model["other"] / (1.0 - model["top"])
+                    stays = large | (_draw(block.hash[rows], model["seed"], model["tree"]) < part)
+                    g, h = (np.where(large, x, np.rint(x / part))[stays] for x in (g, h))
+                    rows = rows[stays]
                 shape = (len(model["nodes"]), len(model["columns"]), n_bins)
                 if i not in held:
                     if sum(s.size for s in held.values()) > CELLS_AT_ONCE:
                         yield from sent()
-                    held[i] = np.zeros((2, *shape), dtype=np.int64)
+                    held[i] = np.zeros((planes, *shape), dtype=np.int64)
                 first = slot[rows] * n_bins
                 for k, f in enumerate(model["columns"]):
                     place = first + block.bins[f][rows]
-                    for j, x in enumerate((g, h)):  # sums of whole numbers below 2^53 are exact
+                    for j, x in enumerate((g, h, None)[:planes]):  # sums of whole numbers below 2^53 are exact
                         held[i][j, :, k] += np.bincount(place, weights=x, minlength=shape[0] * n_bins).astype(np.int64).reshape(shape[0], n_bins)
         yield from sent()
 
@@ -285,26 +455,27 @@ def _cells(blocks: DataFrame, models: list[dict], n_bins: int) -> DataFrame:
 
 
 def _summed(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    return cells.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
 
 
 def _best_here(sums: pa.Table, models: list[_Grown], n_bins: int) -> dict[int, dict[int, tuple]]:
     """The same as `_best_splits`, for sums that are proven to fit the driver."""
     found: dict[int, dict[int, tuple]] = {}
-    columns = [sums.column(c).to_numpy() for c in ("model", "node", "feature", "bin", "g", "h")]
+    columns = [sums.column(c).to_numpy() for c in ("model", "node", "feature", "bin", "g", "h", "n")]
     for i, m in enumerate(models):
         mine = columns[0] == i
         if not mine.any():
             continue
-        node, feature, at, g, h = (c[mine] for c in columns[1:])
+        node, feature, at, g, h, n = (c[mine] for c in columns[1:])
         p, nodes = m.params, np.array(list(m.open))
         slots = np.zeros(nodes.max() + 1, dtype=np.int64)
         slots[nodes] = np.arange(len(nodes))
         place = np.zeros(max(m.columns) + 1, dtype=np.int64)
         place[m.columns] = np.arange(len(m.columns))
-        dense = np.zeros((2, len(nodes), len(m.columns), n_bins), dtype=np.int64)
+        dense = np.zeros((3, len(nodes), len(m.columns), n_bins), dtype=np.int64)
         dense[0][slots[node], place[feature], at] = g
         dense[1][slots[node], place[feature], at] = h
+        dense[2][slots[node], place[feature], at] = n
         left = np.cumsum(dense, axis=3) - dense
         whole = dense.sum(axis=3, keepdims=True)
 
@@ -314,16 +485,17 @@ def _best_here(sums: pa.Table, models: list[_Grown], n_bins: int) -> dict[int, d
 
         right = whole - left
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = score(*left) + score(*right) - score(*whole)
-        fits = (dense[1] > 0) & (left[1] > 0) & (left[1] / UNIT >= p.min_child_weight) & (right[1] / UNIT >= p.min_child_weight)
+            gain = score(*left[:2]) + score(*right[:2]) - score(*whole[:2])
+        fits = (left[2] >= p.min_child_samples) & (right[2] >= p.min_child_samples)
+        fits &= (dense[1] > 0) & (left[1] > 0) & (left[1] / UNIT >= p.min_child_weight) & (right[1] / UNIT >= p.min_child_weight)
         gain = np.where(fits, gain, -1.0).reshape(len(nodes), -1)
         best = gain.argmax(axis=1)  # the first of equals
         for s, k in enumerate(best.tolist()):
             f, b = divmod(k, n_bins)
-            g0, h0 = (int(x) for x in whole[:, s, 0, 0])
+            g0, h0 = (int(x) for x in whole[:2, s, 0, 0])
             if h0:
                 top = float(gain[s, k])
-                gl, hl = (int(x) for x in left[:, s, f, b])
+                gl, hl = (int(x) for x in left[:2, s, f, b])
                 found.setdefault(i, {})[int(nodes[s])] = (g0, h0, top, m.columns[f] if top >= 0 else None, b, gl, hl)
     return found
 
@@ -338,15 +510,16 @@ def _best_splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rows = summed.select(
-        *keys, "bin", F.sum("g").over(before).alias("gl"), F.sum("h").over(before).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"))
-    rows = rows.withColumns({"alpha": of("reg_alpha"), "lambda": of("reg_lambda"), "least": of("min_child_weight")})
+        *keys, "bin", F.sum("g").over(before).alias("gl"), F.sum("h").over(before).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"),
+        F.sum("n").over(before).alias("nl"), F.sum("n").over(whole).alias("n"))
+    rows = rows.withColumns({"fewest": of("min_child_samples"), "alpha": of("reg_alpha"), "lambda": of("reg_lambda"), "least": of("min_child_weight")})
 
     def score(g: Column, h: Column) -> Column:
         soft = F.greatest(F.abs(g) / F.lit(UNIT) - F.col("alpha"), F.lit(0.0))
         return soft * soft / (h / F.lit(UNIT) + F.col("lambda"))
 
     g, h, gl, hl = (F.col(c) for c in ("g", "h", "gl", "hl"))
-    fits = gl.isNotNull() & (hl / UNIT >= F.col("least")) & ((h - hl) / UNIT >= F.col("least"))
+    fits = gl.isNotNull() & (F.col("nl") >= F.col("fewest")) & (F.col("n") - F.col("nl") >= F.col("fewest")) & (hl / UNIT >= F.col("least")) & ((h - hl) / UNIT >= F.col("least"))
     gain = F.when(fits, score(gl, hl) + score(g - gl, h - hl) - score(g, h)).otherwise(F.lit(-1.0))
     found = rows.select("model", "node", "g", "h", "feature", "bin", "gl", "hl", gain.alias("gain"))
     best = F.max_by(F.struct("gain", "feature", "bin", "gl", "hl"), F.struct("gain", -F.col("feature"), -F.col("bin")))
@@ -377,9 +550,11 @@ def _grow(blocks: DataFrame, models: list[_Grown], n_bins: int) -> DataFrame:
         at_work = [m for m in models if tree < m.params.n_estimators]
         for m in at_work:
             m.begin()
-        for depth in range(max(m.params.max_depth for m in at_work)):
+        if any(m.params.top_rate for m in at_work):
+            _set_floors(blocks, models)
+        for depth in count():
             for m in at_work:
-                if depth >= m.params.max_depth:
+                if m.full(depth):
                     m.finish()
             if not any(m.open for m in at_work):
                 break
@@ -537,7 +712,7 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, params: dict | B
     """
     p = params if isinstance(params, Boost) else Boost.of(params)
     cuts = bin_cuts(df, features, p.max_bin) if cuts is None else cuts
-    model = _Grown(p, len(features))
+    model = _grown(p, len(features))
     _grow(_blocks(df, features, label, cuts, weight, None, key), [model], max(len(c) for c in cuts) + 2)
     return BoostedTrees(features, cuts, model.trees, p)
 
@@ -553,7 +728,7 @@ def cross_validate(df: DataFrame, features: list[str], label: str, fold: str, tr
     if len(bins) != 1:
         raise ValueError("trials of one call share max_bin")
     cuts = bin_cuts(df, features, bins.pop()) if cuts is None else cuts
-    models = [_Grown(p, len(features), f) for p in ps for f in range(k)]
+    models = [_grown(p, len(features), f) for p in ps for f in range(k)]
     blocks = _grow(_blocks(df, features, label, cuts, None, fold, key), models, max(len(c) for c in cuts) + 2)
     ddl = "trial int, fold int, n long, hits long"
     out = _schema(df.sparkSession, ddl)
@@ -587,4 +762,4 @@ class BoostedClassifier:
         return fit_boosted(materialise(flat, "flat"), names, "y", self.params)
 
 
-__all__ = ["BOOST_SPACE", "Boost", "BoostedClassifier", "BoostedTrees", "Tree", "bin_cuts", "cross_validate", "fit_boosted", "walk"]
+__all__ = ["BOOST_SPACE", "LEAF_SPACE", "Boost", "BoostedClassifier", "BoostedTrees", "Tree", "bin_cuts", "cross_validate", "fit_boosted", "walk"]
