@@ -159,6 +159,18 @@ def _knn_probe(spark, sf):
     return found.agg(F.count("*").alias("wanted"), (F.count("hit") >= RECALL * F.count("*")).alias("recall_reached"))
 
 
+def _knn_hashed(spark, sf):
+    """How many of all exact neighbours hashed buckets find; the buckets are small, so that even a small table does not fit one."""
+    e = fr.table(spark, sf, "embeddings")
+    exact = neighbors.knn(e, "vec_id", "embedding", 3).select("vec_id", "neighbour")
+    hashed = neighbors.knn(e, "vec_id", "embedding", 3, method="lsh", tables=48, block_rows=128)
+    found = exact.join(hashed.select("vec_id", "neighbour", F.lit(1).alias("hit")), ["vec_id", "neighbour"], "left")
+    return found.agg(F.count("*").alias("wanted"), (F.count("hit") >= RECALL * F.count("*")).alias("recall_reached"))
+
+
+HASHED_SQL = "SELECT CAST(sum(least(3, n - 1) * n) AS BIGINT) AS wanted, true AS recall_reached FROM (SELECT count(*) AS n FROM embeddings)"
+
+
 PROBE_SQL = """
 WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
 SELECT CAST(sum(n * least(3, n - 1)) AS BIGINT) AS wanted, true AS recall_reached FROM c
@@ -261,6 +273,7 @@ QUERIES = {
     "assign_folds": (_folds, FOLDS_SQL),
     "class_deficit": (_deficit, DEFICIT_SQL),
     "knn": (_knn, _knn_sql("CAST(embedding AS DOUBLE[])", "AND a.label = b.label")),
+    "knn_hashed": (_knn_hashed, HASHED_SQL),
     "knn_many_cells": (_knn_cells, _knn_sql("CAST(embedding AS DOUBLE[])", "")),
     "knn_probe": (_knn_probe, PROBE_SQL),
     "smote": (_smote, SMOTE_SQL),
