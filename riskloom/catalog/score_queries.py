@@ -55,6 +55,20 @@ def _csv_schema(spark, sf):
     )
 
 
+def _csv_split(spark, sf):
+    """Whole texts with their line breaks, through a quoted CSV that is read in ranges."""
+    path = fresh_path(spark, "documents-csv")
+    docs = fr.table(spark, sf, "documents").select("doc_id", "lang", F.concat(F.lit("text: "), F.col("text")).alias("text"))
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = tables.read_table(spark, path, "doc_id bigint, lang string, text string", "csv", multi_line="split")
+    return read.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+CSV_SPLIT_SQL = """
+SELECT doc_id, nullif(lang, '') AS lang, CAST(length('text: ' || text) AS BIGINT) AS n_chars, md5('text: ' || text) AS text_md5 FROM documents
+"""
+
+
 def _parquet_source(spark, sf):
     path = fresh_path(spark, "events-parquet")
     e = fr.table(spark, sf, "events").select(
@@ -433,6 +447,7 @@ SELECT 'gbt' AS model_name, 5 AS n_selected, 7 AS total_features, 5 AS selected_
 QUERIES = {
     "read_csv": (_csv_source, CSV_SQL),
     "read_csv_schema": (_csv_schema, "SELECT * FROM part"),
+    "read_csv_split": (_csv_split, CSV_SPLIT_SQL),
     "read_parquet": (_parquet_source, PARQUET_SQL),
     "read_records": (_json_source, JSON_SQL),
     "coerce_raw": (_coerce_raw, f"SELECT event_id, {RAW_NUMBER_SQL} AS k, {r('value', 'value')} FROM ({fr.DIRTY_SQL})"),

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numbers import INTEGER_TEXT, NULL_TOKENS, NUMBER_TEXT, is_floating, nan_free, nan_to_null, quoted
+from .ranges import read_split_csv
 
 
 class TableNotFound(FileNotFoundError):
@@ -69,13 +70,15 @@ def infer_types(text: DataFrame) -> T.StructType:
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, format: str | None = None,
-               multi_line: bool = False) -> DataFrame:
+               multi_line: bool | str = False) -> DataFrame:
     """Header CSV or parquet to a typed table with NaN as null.
 
     CSV columns are read as text, the usual spellings of "missing" become
     null, and the rest is cast. With a schema this is one lazy pass; without
     one, types are found in a pass of their own. Line breaks inside quotes need
-    `multi_line`; each file is then one task, so large tables need many files.
+    `multi_line`: "split" reads each file in ranges (`ranges.split_records`) and
+    needs balanced quotes, True makes each file one task and, where lines end
+    with \\r\\n, turns the breaks inside values into \\n.
     """
     require_path(spark, path)
     kind = format or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
@@ -84,7 +87,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         return nan_free(reader.parquet(path))
     if kind != "csv":
         raise ValueError(f"unknown format {kind!r}")
-    text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+    if multi_line == "split":
+        text = read_split_csv(spark, path)
+    else:
+        text = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
     if schema is None:
         schema = infer_types(text)
     elif isinstance(schema, str):
