@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import boost, clean, evaluate, split, tpe, train, workflow
+from ..operators import boost, clean, encode, evaluate, split, tpe, train, workflow
 from ..operators.features import Derived
 from ..plans.durable import materialise
 from ..plans.small import local_frame
@@ -227,11 +227,14 @@ def _boosted_report(spark, sf):
 LEAVES = {"n_estimators": 8, "num_leaves": 31, "max_depth": 8, "learning_rate": 0.3, "colsample_bytree": 0.85, "min_child_weight": 0.001, "min_child_samples": 20,
           "reg_alpha": 1.0, "reg_lambda": 1.0, "top_rate": 0.2, "other_rate": 0.1}
 
+ORDERED = {"n_estimators": 8, "max_depth": 5, "learning_rate": 0.3, "reg_lambda": 3.0, "min_child_weight": 0.0, "subsample": 0.85,
+           "colsample_bylevel": 0.85, "symmetric": 1, "segments": 12}
+
 
 def _boosted_families(spark, sf):
-    """Second-order trees that grow leaf by leaf beside a forest, each with its own threshold."""
+    """Trees that grow leaf by leaf and ordered symmetric trees beside a forest, each with its own threshold."""
     fit, test = _parts(spark, sf)
-    families = {"leaves": boost.BoostedClassifier("y", LEAVES), "rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})}
+    families = {"leaves": boost.BoostedClassifier("y", LEAVES), "ordered": boost.BoostedClassifier("y", ORDERED), "rf": train.forest("y", {"numTrees": 20, "maxDepth": 5})}
     results, _, _ = train.fit_families(families, fit, test, FEATURES, "y")
     return _facts(results, "model")
 
@@ -306,7 +309,24 @@ def _families(spark, sf):
 FAMILIES_SQL = f"SELECT model, {_CLASSES}, true AS good FROM ({fr.parts_sql(fr.PLANTED_SQL)}), (SELECT unnest(['gbt', 'rf']) AS model) WHERE is_test GROUP BY model"
 
 
-BOOSTED_FAMILIES_SQL = FAMILIES_SQL.replace("['gbt', 'rf']", "['leaves', 'rf']")
+BOOSTED_FAMILIES_SQL = FAMILIES_SQL.replace("['gbt', 'rf']", "['leaves', 'ordered', 'rf']")
+
+
+STATISTICS = ["l_linenumber", "l_quantity", "l_discount"]
+
+
+def _ordered_statistics(spark, sf):
+    """Three columns of whole lineitem as categories, each row told by the rows before it."""
+    coded = encode.ordered_statistics(fr.prepared(fr.planted(spark, sf)), STATISTICS, "y", "row_id", seed=fr.SEED)
+    return fr.rounded(coded.select("row_id", *[c + "_stat" for c in STATISTICS]))
+
+
+_EARLIER = f"ORDER BY {fr.sql_digest('row_id')}, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_STATISTIC = "(coalesce(sum(y) OVER {w}, 0) + 0.5) / (count(y) OVER {w} + 1)"
+STATISTICS_SQL = f"""
+SELECT row_id, {', '.join(r(_STATISTIC.format(w=f'(PARTITION BY {c} {_EARLIER})'), c + '_stat') for c in STATISTICS)}
+FROM ({fr.PLANTED_SQL})
+"""
 
 
 def _training_run(spark, sf):
@@ -451,6 +471,7 @@ QUERIES = {
     "boosted_first_tree": (partial(_first_tree, FIRST), _first_tree_sql(TREE_DEPTH)),
     "boosted_first_leaves": (partial(_first_tree, FIRST_LEAVES), _first_tree_sql(FIRST_LEAVES["max_depth"], FIRST_LEAVES["num_leaves"])),
     "boosted_families": (_boosted_families, BOOSTED_FAMILIES_SQL),
+    "ordered_statistics": (_ordered_statistics, STATISTICS_SQL),
     "boosted_trees": (_boosted, BOOSTED_SQL),
     "boosted_report": (_boosted_report, _held_out_sql(fr.PLANTED_SQL)),
     "cv_boosted": (_cv_stumps, _cv_stumps_sql()),

@@ -18,6 +18,13 @@ their turn, so a tree takes as many jobs as it is deep, not as it has leaves;
 what was looked at in vain is cut off. With `top_rate` and `other_rate` each
 tree sees the rows of large gradients and a weighted part of the others.
 
+With `symmetric` all nodes of a level share one cut, the one that gains most in
+all of them together. With `segments` boosting is ordered: rows lie in segments
+of doubling size in hash order, and a row's margin comes from leaf values of
+rows in earlier segments only, so no gradient rests on the row's own label. One
+more job a tree adds up gradients by (model, leaf, segment). The finished trees
+hold the values of all segments.
+
 Gradients are added as 64-bit integers (`UNIT` of one), which makes every sum
 exact: the trees do not depend on how rows are dealt out, nor on lost tasks.
 """
@@ -49,6 +56,8 @@ KEEP_TREES, KEEP_NODES = 16, 20_000
 CELLS_AT_ONCE = 4_000_000
 #: Sums that fill at most so many cells are searched on the driver, which saves two shuffles a level; more are searched by Spark.
 DRIVER_CELLS = 500_000
+#: Gains of one cut in several nodes are added as whole parts of so many, so that their order does not matter.
+GAIN_UNIT = 2.0**20
 #: Quantiles come from all rows up to this number, beyond it from about as many rows, drawn by their hash.
 CUT_ROWS = 200_000
 
@@ -75,6 +84,14 @@ LEAF_SPACE = (
     ("reg_alpha", "float", 0.0, 2.0),
     ("reg_lambda", "float", 0.0, 2.0),
 )
+ORDERED_SPACE = (
+    ("n_estimators", "int", 500, 1200),
+    ("max_depth", "int", 5, 12),
+    ("learning_rate", "log", 0.005, 0.1),
+    ("reg_lambda", "float", 1.0, 10.0),
+    ("subsample", "float", 0.7, 1.0),
+    ("colsample_bylevel", "float", 0.7, 1.0),
+)
 
 
 @dataclass(frozen=True)
@@ -99,8 +116,19 @@ class Boost:
     #: The share of rows with the largest gradients that each tree sees, and the share of all rows drawn from the others.
     top_rate: float = 0.0
     other_rate: float = 0.0
+    #: 1: one cut for each level, from a share of the columns drawn anew for each; a side may stay empty then.
+    symmetric: int = 0
+    colsample_bylevel: float = 1.0
+    #: Segments of ordered boosting, each as large as all before it; 0: plain margins.
+    segments: int = 0
 
     def __post_init__(self):
+        if self.segments == 1 or not 0 <= self.segments <= 50:
+            raise ValueError("segments must be 0 or between 2 and 50")
+        if self.symmetric and self.num_leaves:
+            raise ValueError("a tree grows either with one cut a level or by num_leaves")
+        if self.colsample_bylevel < 1.0 and not self.symmetric:
+            raise ValueError("columns are drawn by level for symmetric trees only")
         if self.num_leaves == 1 or self.num_leaves < 0:
             raise ValueError("num_leaves must be 0 or at least 2")
         if self.top_rate and (not 0 < self.top_rate < 1 or not 0 < self.other_rate <= 1 - self.top_rate):
@@ -127,6 +155,8 @@ class Tree:
     value: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
     cover: list[float] = field(default_factory=lambda: [0.0])
+    #: In ordered boosting the values that each segment's rows see, one line a segment, and those of all rows last.
+    by_segment: np.ndarray | None = None
 
     def split(self, node: int, feature: int, at: int, gain: float) -> int:
         self.feature[node], self.bin[node], self.left[node], self.gain[node] = feature, at, len(self.feature), gain
@@ -137,6 +167,9 @@ class Tree:
     def packed(self) -> tuple[np.ndarray, ...]:
         return np.array(self.feature), np.array(self.bin), np.array(self.left), np.array(self.value)
 
+    def packed_for_fit(self) -> tuple[np.ndarray, ...]:
+        return self.packed() if self.by_segment is None else (*self.packed()[:3], self.by_segment)
+
 
 def walk(rows: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The node that each row ends in; rows: one line for each feature."""
@@ -184,12 +217,27 @@ class _Grown:
         soft = max(abs(g) / UNIT - self.params.reg_alpha, 0.0)
         return soft * soft / (h / UNIT + self.params.reg_lambda) if h else 0.0
 
+    def value(self, g: int, h: int) -> float:
+        p = self.params
+        soft = max(abs(g) / UNIT - p.reg_alpha, 0.0)
+        return float(-np.sign(g) * soft / (h / UNIT + p.reg_lambda) * p.learning_rate) if h else 0.0
+
     def close(self, node: int, sums: tuple[int, int] | None) -> None:
         g, h = sums or (0, 0)
-        tree, p = self.trees[-1], self.params
-        soft = max(abs(g) / UNIT - p.reg_alpha, 0.0)
-        tree.value[node] = float(-np.sign(g) * soft / (h / UNIT + p.reg_lambda) * p.learning_rate) if h else 0.0
-        tree.cover[node] = h / UNIT
+        self.trees[-1].value[node], self.trees[-1].cover[node] = self.value(g, h), h / UNIT
+
+    def order(self, sums: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Leaf values for each segment from the (leaf, segment) sums of all segments before it."""
+        tree, n = self.trees[-1], self.params.segments
+        tree.by_segment = np.zeros((n + 1, len(tree.feature)))
+        for node, feature in enumerate(tree.feature):
+            g = h = 0
+            for segment in range(n if feature < 0 else 0):
+                tree.by_segment[segment, node] = self.value(g, h)
+                more = sums.get((node, segment), (0, 0))
+                g, h = g + more[0], h + more[1]
+            if feature < 0:
+                tree.by_segment[n, node] = tree.value[node] = self.value(g, h)
 
     def take(self, found: dict[int, tuple]) -> None:
         """Split the open nodes by their best splits, close those that gain too little."""
@@ -214,16 +262,18 @@ class _Grown:
             self.close(node, sums)
         self.open = {}
 
-    def task(self) -> dict:
-        """What a task must know: the trees that the margins lack, the tree in hand, its open nodes."""
+    def task(self, finished: bool = False) -> dict:
+        """What a task must know: the trees that the margins lack, the tree in hand (if not finished), its open nodes."""
         p = self.params
+        if finished:  # all its leaves are asked for
+            return self.task() | {"trees": [t.packed_for_fit() for t in self.trees[self.kept : -1]], "hand": self.trees[-1].packed()}
         slots = np.full(len(self.trees[-1].feature) if self.open else 0, -1)
         slots[list(self.open)] = np.arange(len(self.open))
         later = self.trees[self.kept : -1] if self.open else self.trees[self.kept :]
         return {
-            "trees": [t.packed() for t in later], "hand": self.trees[-1].packed() if self.open else None, "slots": slots, "nodes": list(self.open),
+            "trees": [t.packed_for_fit() for t in later], "hand": self.trees[-1].packed() if self.open else None, "slots": slots, "nodes": list(self.open),
             "columns": self.columns, "fold": self.fold, "subsample": p.subsample, "seed": p.seed, "tree": len(self.trees) - 1, "weight": p.scale_pos_weight,
-            "counted": p.min_child_samples > 0, "top": p.top_rate, "other": p.other_rate, "floor": self.floor,
+            "segments": p.segments, "counted": p.min_child_samples > 0, "top": p.top_rate, "other": p.other_rate, "floor": self.floor,
         }
 
 
@@ -294,6 +344,38 @@ class _LeafGrown(_Grown):
                 self.open[side] = sums
 
 
+@dataclass
+class _EvenGrown(_Grown):
+    """A model whose nodes of a level share one cut; a node that it does not part gets an empty side."""
+
+    depth: int = 0
+
+    def begin(self) -> None:
+        super().begin()
+        self.whole, self.depth = self.columns, 0
+        self._draw_columns()
+
+    def _draw_columns(self) -> None:
+        n = max(1, int(self.params.colsample_bylevel * len(self.whole)))
+        if n < len(self.whole):
+            drawn = np.random.default_rng([self.params.seed, len(self.trees) - 1, self.depth]).permutation(self.whole)[:n]
+            self.columns = sorted(drawn.tolist())
+
+    def take(self, found: dict[int, tuple]) -> None:
+        """`found` has the common cut, its gain in all nodes together and each node's own sums."""
+        opened, tree = {}, self.trees[-1]
+        for node, sums in self.open.items():
+            best = found.get(node)
+            self.close(node, sums if best is None else best[:2])
+            if best and best[3] is not None and best[2] > LEAST_GAIN and best[2] >= self.params.gamma:
+                g, h, gain, feature, at, gl, hl = best
+                left = tree.split(node, feature, at, gain / len(found))
+                opened[left], opened[left + 1] = (gl, hl), (g - gl, h - hl)
+        self.open = opened
+        self.depth += 1
+        self._draw_columns()
+
+
 def _pruned(tree: Tree, chosen: set[int]) -> Tree:
     """The tree with the chosen splits only."""
     out, at = Tree(), [(0, 0)]
@@ -306,7 +388,7 @@ def _pruned(tree: Tree, chosen: set[int]) -> Tree:
 
 
 def _grown(params: Boost, n_features: int, fold: int | None = None) -> _Grown:
-    return (_LeafGrown if params.num_leaves else _Grown)(params, n_features, fold)
+    return (_LeafGrown if params.num_leaves else _EvenGrown if params.symmetric else _Grown)(params, n_features, fold)
 
 
 _BLOCK = "n int, bins binary, y binary, w binary, fold binary, hash binary, margins binary"
@@ -338,8 +420,10 @@ class _Block:
 
     def margin(self, i: int, model: dict) -> np.ndarray:
         out = self.margins[i]
+        segment = _segment(self, model) if model["segments"] and model["trees"] else None
         for feature, cut, left, value in model["trees"]:
-            out = out + value[walk(self.bins, feature, cut, left)]
+            node = walk(self.bins, feature, cut, left)
+            out = out + (value[node] if segment is None else value[segment, node])
         return out
 
 
@@ -361,6 +445,46 @@ def _used(block: _Block, model: dict) -> np.ndarray:
     return block.fold != model["fold"] if model["fold"] is not None else np.ones(block.n, dtype=bool)
 
 
+def _segment(block: _Block, model: dict) -> np.ndarray:
+    """Each row's segment; rows that the model does not learn from see the values of all segments."""
+    n = model["segments"]
+    place = _draw(block.hash, model["seed"], 1_000_003)
+    own = np.where(place > 0, np.maximum(n - 1 + np.frexp(place)[1], 0), 0)
+    return np.where(_used(block, model), own, n)
+
+
+def _leaf_sums(blocks: DataFrame, models: list[_Grown], at_work: list[_Grown]) -> None:
+    """Give the trees just finished of ordered models their values by segment, from one row for each (model, leaf, segment)."""
+    tasks = [m.task(finished=True) if m.params.segments and any(m is a for a in at_work) else None for m in models]
+    ddl = "model int, node int, segment int, g long, h long"
+    out = _schema(blocks.sparkSession, ddl)
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for block in _blocks_of(batches, len(tasks)):
+            for i, model in enumerate(tasks):
+                if model is None:
+                    continue
+                n, rows = model["segments"], np.flatnonzero(_used(block, model))
+                size = len(model["hand"][0]) * n
+                cell = (walk(block.bins, *model["hand"][:3]) * n + _segment(block, model).clip(max=n - 1))[rows]
+                sums = held.setdefault(i, np.zeros((2, size), dtype=np.int64))
+                for j, x in enumerate(_gradients(block, i, model, rows)):
+                    sums[j] += np.bincount(cell, weights=x, minlength=size).astype(np.int64)
+        for i, sums in held.items():
+            cell = np.flatnonzero(sums[1])
+            yield _record(out, model=np.full(len(cell), i, dtype=np.int32), node=(cell // tasks[i]["segments"]).astype(np.int32),
+                          segment=(cell % tasks[i]["segments"]).astype(np.int32), g=sums[0][cell], h=sums[1][cell])
+
+    found: dict[int, dict] = {}
+    summed = blocks.mapInArrow(add, ddl).groupBy("model", "node", "segment").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    for r in summed.collect():  # at most leaves x segments a model
+        found.setdefault(r.model, {})[r.node, r.segment] = (r.g, r.h)
+    for i, m in enumerate(models):
+        if tasks[i] is not None:
+            m.order(found.get(i, {}))
+
+
 def _size_cell(g: np.ndarray) -> np.ndarray:
     """The cell of a gradient's size: 32 cells from each power of two to the next."""
     part, power = np.frexp(np.abs(g))
@@ -488,7 +612,11 @@ def _best_here(sums: pa.Table, models: list[_Grown], n_bins: int) -> dict[int, d
             gain = score(*left[:2]) + score(*right[:2]) - score(*whole[:2])
         fits = (left[2] >= p.min_child_samples) & (right[2] >= p.min_child_samples)
         fits &= (dense[1] > 0) & (left[1] > 0) & (left[1] / UNIT >= p.min_child_weight) & (right[1] / UNIT >= p.min_child_weight)
-        gain = np.where(fits, gain, -1.0).reshape(len(nodes), -1)
+        if p.symmetric:
+            total = np.where(fits, np.rint(gain * GAIN_UNIT), 0.0).astype(np.int64).sum(axis=0).reshape(-1)
+            gain = np.broadcast_to(total / GAIN_UNIT, (len(nodes), total.size))
+        else:
+            gain = np.where(fits, gain, -1.0).reshape(len(nodes), -1)
         best = gain.argmax(axis=1)  # the first of equals
         for s, k in enumerate(best.tolist()):
             f, b = divmod(k, n_bins)
@@ -500,8 +628,8 @@ def _best_here(sums: pa.Table, models: list[_Grown], n_bins: int) -> dict[int, d
     return found
 
 
-def _best_splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
-    """(model, node, g, h, gain, feature, bin, gl, hl): the best split of each open node, the first feature and bin of equals."""
+def _splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
+    """(model, node, g, h, feature, bin, gl, hl, gain, fits, last): all splits between bins that hold rows; `last` is the bin before."""
     def of(name: str) -> Column:
         return F.array(*[F.lit(float(getattr(m.params, name))) for m in models])[F.col("model")]
 
@@ -510,7 +638,7 @@ def _best_splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rows = summed.select(
-        *keys, "bin", F.sum("g").over(before).alias("gl"), F.sum("h").over(before).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"),
+        *keys, "bin", F.lag("bin").over(whole.orderBy("bin")).alias("last"), F.sum("g").over(before).alias("gl"), F.sum("h").over(before).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"),
         F.sum("n").over(before).alias("nl"), F.sum("n").over(whole).alias("n"))
     rows = rows.withColumns({"fewest": of("min_child_samples"), "alpha": of("reg_alpha"), "lambda": of("reg_lambda"), "least": of("min_child_weight")})
 
@@ -521,11 +649,36 @@ def _best_splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
     g, h, gl, hl = (F.col(c) for c in ("g", "h", "gl", "hl"))
     fits = gl.isNotNull() & (F.col("nl") >= F.col("fewest")) & (F.col("n") - F.col("nl") >= F.col("fewest")) & (hl / UNIT >= F.col("least")) & ((h - hl) / UNIT >= F.col("least"))
     gain = F.when(fits, score(gl, hl) + score(g - gl, h - hl) - score(g, h)).otherwise(F.lit(-1.0))
-    found = rows.select("model", "node", "g", "h", "feature", "bin", "gl", "hl", gain.alias("gain"))
+    return rows.select("model", "node", "g", "h", "feature", "bin", "gl", "hl", gain.alias("gain"), fits.alias("fits"), "last")
+
+
+def _best_splits(cells: DataFrame, models: list[_Grown]) -> DataFrame:
+    """(model, node, g, h, gain, feature, bin, gl, hl): the best split of each open node, the first feature and bin of equals."""
+    found = _splits(cells, models)
     best = F.max_by(F.struct("gain", "feature", "bin", "gl", "hl"), F.struct("gain", -F.col("feature"), -F.col("bin")))
     return found.groupBy("model", "node").agg(F.first("g").alias("g"), F.first("h").alias("h"), best.alias("best")).select("model", "node", "g", "h", "best.*")
 
 
+def _best_common(cells: DataFrame, models: list[_Grown]) -> DataFrame:
+    """The same for symmetric models: one cut for all open nodes of a model, `gain` being its sum over them.
+
+    A cut counts in a node by what lies to its left there, also where the node holds no row of that very bin.
+    """
+    splits = _splits(cells, models)
+    gain = F.when(F.col("fits"), F.rint(F.col("gain") * GAIN_UNIT)).otherwise(0.0).cast("long")
+    first = F.coalesce(F.col("last") + 1, F.col("bin"))
+    every = splits.select("model", "feature", F.explode(F.sequence(first, F.col("bin"))).alias("at"), gain.alias("gain"))
+    total = every.groupBy("model", "feature", "at").agg(F.sum("gain").alias("gain"))
+    cut = F.max_by(F.struct("gain", "feature", "at"), F.struct("gain", -F.col("feature"), -F.col("at")))
+    best = F.broadcast(total.groupBy("model").agg(cut.alias("best")).select(
+        F.col("model").alias("of"), F.col("best.gain").alias("gain"), F.col("best.feature").alias("cut"), F.col("best.at").alias("at")))  # one row a model
+    mine = cells.join(best, (F.col("model") == F.col("of")) & (F.col("feature") == F.col("cut")))
+    low = F.col("bin") < F.col("at")
+    return mine.groupBy("model", "node", "feature", "at", "gain").agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum(F.when(low, F.col("g")).otherwise(0)).alias("gl"), F.sum(F.when(low, F.col("h")).otherwise(0)).alias("hl"),
+    ).select("model", "node", "g", "h", (F.col("gain") / GAIN_UNIT).alias("gain"), "feature", F.col("at").alias("bin"), "gl", "hl")
+
+
 def _kept(blocks: DataFrame, models: list[_Grown]) -> DataFrame:
     """The blocks with margins that hold all finished trees."""
     tasks = [m.task() for m in models]
@@ -562,14 +715,20 @@ def _grow(blocks: DataFrame, models: list[_Grown], n_bins: int) -> DataFrame:
             if sum(len(m.open) * len(m.columns) * n_bins for m in models) <= DRIVER_CELLS:
                 found = _best_here(_summed(cells).toArrow(), models, n_bins)
             else:
+                even = [i for i, m in enumerate(models) if m.params.symmetric]
+                held = materialise(_summed(cells), "cells") if even else cells
+                rows = _best_splits(held.where(~F.col("model").isin(even)) if even else held, models).collect() if len(even) < len(models) else []
+                rows += _best_common(held.where(F.col("model").isin(even)), models).collect() if even else []
                 found = {}
-                for r in _best_splits(cells, models).collect():  # one row per open node
+                for r in rows:  # one row per open node
                     found.setdefault(r.model, {})[r.node] = (r.g, r.h, r.gain, r.feature if r.gain >= 0 else None, r.bin, r.gl, r.hl)
             for i, m in enumerate(models):
                 if m.open:
                     m.take(found.get(i, {}))
         for m in at_work:
             m.finish()
+        if any(m.params.segments for m in at_work):
+            _leaf_sums(blocks, models, at_work)
         later = [len(t.feature) for m in models for t in m.trees[m.kept :]]
         if max(len(m.trees) - m.kept for m in models) >= KEEP_TREES or sum(later) >= KEEP_NODES:
             blocks = _kept(blocks, models)
@@ -762,4 +921,4 @@ class BoostedClassifier:
         return fit_boosted(materialise(flat, "flat"), names, "y", self.params)
 
 
-__all__ = ["BOOST_SPACE", "LEAF_SPACE", "Boost", "BoostedClassifier", "BoostedTrees", "Tree", "bin_cuts", "cross_validate", "fit_boosted", "walk"]
+__all__ = ["BOOST_SPACE", "LEAF_SPACE", "ORDERED_SPACE", "Boost", "BoostedClassifier", "BoostedTrees", "Tree", "bin_cuts", "cross_validate", "fit_boosted", "walk"]
