@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.draws import digest
 from ..functions.numbers import quoted
 from ..plans.ranking import prefix_digits
+from ..plans.small import pin_small
+
+#: Sums of earlier buckets that are broadcast at most.
+PINNED_SUMS = 1_000_000
 
 
 def _statistic(positives: Column, n: Column, prior: float, weight: float) -> Column:
@@ -21,22 +25,28 @@ def ordered_statistics(df: DataFrame, columns: list[str], label: str, key: str,
     to tell rows apart. Null is a category. A row without a label adds nothing
     to later ones but has statistics. A category may hold any share of the
     rows: prefix sums run over hash buckets, and rows are ordered only inside
-    a bucket of a category. Each column takes one shuffle of the rows.
+    a bucket of a category. All columns share one shuffle of the rows; a column
+    with more than PINNED_SUMS sums (categories times buckets) takes one more.
     """
     taken = [c + suffix for c in columns if c + suffix in df.columns]
     if taken:
         raise ValueError(f"columns exist already: {taken}")
     digits = prefix_digits(df.count())
-    out = df.withColumns({"_y": quoted(label).cast("double"), "_h": digest(seed, quoted(key))}).withColumn("_b", F.substring("_h", 1, digits))
-    for c in columns:
+    out = df.withColumns({"_y": quoted(label).cast("double"), "_h": digest(seed, quoted(key))})
+    out = out.withColumns({"_b": F.substring("_h", 1, digits), "_h": F.unhex("_h")})  # 16 bytes in the shuffle, in the same order
+    upto = Window.partitionBy("_tc").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
+    before = []
+    for c in columns:  # categories times buckets; each reads its own column, label and key only
+        buckets = out.groupBy(quoted(c).alias("_tc"), F.col("_b").alias("_tb")).agg(F.sum("_y").alias("s"), F.count("_y").alias("n"))
+        before.append(pin_small(buckets.select("_tc", "_tb", F.sum("s").over(upto).alias("_s"), F.sum("n").over(upto).alias("_n")), PINNED_SUMS))
+    # a bucket's rows of all categories lie together, so the windows of all columns need no other shuffle
+    out = out.repartition("_b")
+    for c, sums in zip(columns, before):
         own = out.withColumn("_c", quoted(c))
-        upto = Window.partitionBy("_tc").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-        buckets = own.groupBy(F.col("_c").alias("_tc"), F.col("_b").alias("_tb")).agg(F.sum("_y").alias("s"), F.count("_y").alias("n"))
-        before = buckets.select("_tc", "_tb", F.sum("s").over(upto).alias("_s"), F.sum("n").over(upto).alias("_n"))
         earlier = Window.partitionBy("_c", "_b").orderBy("_h", quoted(key)).rowsBetween(Window.unboundedPreceding, -1)
         positives = F.coalesce(F.col("_s"), F.lit(0.0)) + F.coalesce(F.sum("_y").over(earlier), F.lit(0.0))
         n = F.coalesce(F.col("_n"), F.lit(0)) + F.count("_y").over(earlier)
-        out = own.join(before, F.col("_c").eqNullSafe(F.col("_tc")) & (F.col("_b") == F.col("_tb"))).withColumn(
+        out = own.join(sums, F.col("_c").eqNullSafe(F.col("_tc")) & (F.col("_b") == F.col("_tb"))).withColumn(
             c + suffix, _statistic(positives, n, prior, weight)).drop("_c", "_tc", "_tb", "_s", "_n")
     return out.drop("_y", "_h", "_b")
 
