@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.durable import materialise
 from .common import arrow_of, renamed, text_rows
-from .tokens import CACHED_UNITS, CHARS_AT_ONCE, batch_of, id_array, text_encoder
+from .tokens import CACHED_UNITS, CHARS_AT_ONCE, batch_of, id_array, let_go, text_encoder
 
 WINDOW = 4096
 GROUP_PIECES = 4096
@@ -76,8 +76,11 @@ def fillings(lengths: np.ndarray, window: int) -> Iterator[list[int]]:
 
 
 def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-              kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE) -> DataFrame:
-    """Each document's ids with the end id, cut at multiples of the window: one row per piece."""
+              kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE, hold: bool = True) -> DataFrame:
+    """Each document's ids with the end id, cut at multiples of the window: one row per piece.
+
+    Workers keep their encoder for the next task, or with `hold=False` let it go after each.
+    """
     out = arrow_of(PIECES)
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -93,20 +96,24 @@ def pieces_of(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_
                     for name, v in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n)):
                         cols[name].append(v)
             yield batch_of(out, **cols)
+        if not hold:
+            del coder
+            let_go(path)
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, group_pieces: int = GROUP_PIECES,
-         id_col: str = "doc_id", text_col: str = "text", kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE) -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", kept_units: int = CACHED_UNITS, chars: int = CHARS_AT_ONCE,
+         hold: bool = True) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null or empty text is the end id alone. Rows that repeat are packed each
     for itself; a null id is kept. An empty table gives an empty one.
     `group_pieces` bounds what one task packs; only lengths travel, never ids.
-    `kept_units` and `chars` bound a worker's memory while it tokenises.
+    `kept_units` and `chars` bound a worker's memory while it tokenises, `hold=False` what it keeps.
     """
-    pieces = materialise(pieces_of(docs, path, end_id, window, id_col, text_col, kept_units, chars), "pieces")
+    pieces = materialise(pieces_of(docs, path, end_id, window, id_col, text_col, kept_units, chars, hold), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def pack_group(rows: pd.DataFrame) -> pd.DataFrame:

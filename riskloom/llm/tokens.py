@@ -232,6 +232,12 @@ def text_encoder(path: str, kept_units: int = CACHED_UNITS, chars: int = CHARS_A
     return _HELD[path]
 
 
+def let_go(path: str) -> None:
+    """Forget this worker's encoder of a file and give its memory back."""
+    _HELD.pop(path, None)
+    give_back()
+
+
 def id_array(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype="<u4")
 
