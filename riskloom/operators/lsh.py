@@ -55,7 +55,9 @@ def hashed_lists(
     distinct = materialise(collapse_copies(base, want).withColumn("vid", F.monotonically_increasing_id()), "vectors")
     d = len(distinct.select("vec").first()[0])
     # a.x of a normal a varies as the sum of the components' variances says
-    spread = float(np.sqrt(sum(v or 0.0 for v in distinct.agg(*[F.var_pop(F.col("vec")[i]) for i in range(d)]).first()))) or 1.0
+    single = F.bool_and(F.forall("vec", lambda v: v.cast("float").cast("double") == v))
+    *variances, floats = distinct.agg(*[F.var_pop(F.col("vec")[i]) for i in range(d)], single).first()
+    spread = float(np.sqrt(sum(v or 0.0 for v in variances))) or 1.0
     draw = np.random.default_rng(seed)
     normals, shift = draw.normal(size=(tables * functions, d)) / (width * spread), draw.uniform(size=tables * functions)
 
@@ -67,14 +69,14 @@ def hashed_lists(
 
     g_type = base.schema["g"].dataType
     ids = [T.StructField("vid", T.LongType()), T.StructField("g", g_type)]
-    codes = distinct.select("vid", "g", "vec").mapInPandas(project, T.StructType([*ids, T.StructField("codes", T.ArrayType(T.IntegerType()))]))
+    # small numbers, written once; their prefixes are many times as large and are made twice instead
+    codes = materialise(distinct.select("vid", "g", "vec").mapInPandas(project, T.StructType([*ids, T.StructField("codes", T.ArrayType(T.IntegerType()))])), "codes")
     # one row for each table and number of functions; none at all is the whole class, the same bucket in all tables
     starts = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(n).alias("n_codes")) for t in range(tables) for n in range(functions + 1)])
-    prefixes = materialise(
-        codes.select("vid", "g", "codes", F.explode(starts).alias("s")).select(
-            "vid", "g", "s.*",
-            F.xxhash64("g", F.when(F.col("s.n_codes") > 0, F.col("s.table")), "s.n_codes", F.slice("codes", F.col("s.table") * functions + 1, F.col("s.n_codes"))).alias("bucket"),
-        ), "prefixes")
+    prefixes = codes.select("vid", "g", "codes", F.explode(starts).alias("s")).select(
+        "vid", "g", "s.*",
+        F.xxhash64("g", F.when(F.col("s.n_codes") > 0, F.col("s.table")), "s.n_codes", F.slice("codes", F.col("s.table") * functions + 1, F.col("s.n_codes"))).alias("bucket"),
+    )
     once = F.when(F.col("n_codes") > 0, F.lit(1)).otherwise((F.col("table") == 0).cast("int"))
     large = pin_small(prefixes.groupBy("g", "bucket").agg(F.sum(once).alias("n")).where(F.col("n") > block_rows), 1_000_000)
     own = prefixes.join(large, ["g", "bucket"], "left").groupBy("vid", "table").agg(
@@ -85,22 +87,23 @@ def hashed_lists(
 
     key_type = base.schema["key"].dataType
     answer = T.StructType([
-        *ids, T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("dists", T.ArrayType(T.DoubleType())),
+        ids[0], T.StructField("dists", T.ArrayType(T.DoubleType())),
         T.StructField("names", T.ArrayType(key_type)), T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     def one_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         dists, names, vecs, _ = _nearest(_stack(pdf["vec"]), pdf, want, with_vectors)
-        return pd.DataFrame({"vid": pdf["vid"], "g": pdf["g"], "vec": pdf["vec"], "dists": dists, "names": names, "vecs": vecs})
+        return pd.DataFrame({"vid": pdf["vid"], "dists": dists, "names": names, "vecs": vecs})
 
-    met = distinct.join(placed, "vid").groupBy("g", "bucket", "slot").applyInPandas(one_bucket, answer)
+    # a copy for each table: in single precision where that loses nothing; candidates travel without the vector they are for
+    copies = distinct.withColumn("vec", F.col("vec").cast("array<float>")) if floats else distinct
+    met = copies.join(placed, "vid").groupBy("g", "bucket", "slot").applyInPandas(one_bucket, answer)
     entry = lambda e: F.struct(
         e["dists"].alias("dist"), e["names"].alias("key"), (e["vecs"] if with_vectors else F.lit(None).cast("array<double>")).alias("vec"))
     zipped = F.arrays_zip("dists", "names", "vecs") if with_vectors else F.arrays_zip("dists", "names")
-    candidates = met.select("vid", "g", "vec", F.explode(F.transform(zipped, entry)).alias("e"))
-    unique = candidates.groupBy("vid", F.col("e.key").alias("k")).agg(F.first("g").alias("g"), F.first("vec").alias("vec"), F.min("e").alias("e"))
-    lists = materialise(
-        unique.groupBy("vid").agg(F.first("g").alias("g"), F.first("vec").alias("vec"), F.slice(F.sort_array(F.collect_list("e")), 1, want).alias("near"))
-        .drop("vid"), "hashed-lists")
+    candidates = met.select("vid", F.explode(F.transform(zipped, entry)).alias("e")).repartition("vid")
+    unique = candidates.groupBy("vid", F.col("e.key").alias("k")).agg(F.min("e").alias("e"))
+    near = unique.groupBy("vid").agg(F.slice(F.sort_array(F.collect_list("e")), 1, want).alias("near"))
+    lists = materialise(distinct.select("vid", "g", "vec").join(near, "vid").drop("vid"), "hashed-lists")
 
     sizes = pin_small(base.groupBy("g").agg(F.least(F.count("*"), F.lit(want)).alias("most")), 1_000_000)
     short = materialise(lists.join(sizes, "g").where(F.size("near") < F.col("most")).select("g", "vec"), "short-lists")
